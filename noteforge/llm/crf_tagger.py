@@ -65,13 +65,14 @@ def char_ids(text: str) -> np.ndarray:
 class Tagger:
     """Weights of the tagger for `labels`; tag 0 is "outside", then a begin and an inside tag for each label."""
 
-    def __init__(self, labels: list[str], hidden: int = 24, seed: int = 7):
+    def __init__(self, labels: list[str], hidden: int = 16, seed: int = 7):
         self.labels, self.hidden = list(labels), hidden
         n, r = 2 * len(labels) + 1, np.random.default_rng(seed)
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.p = {
             "chars": f(2, SIZE, 4 * hidden, scale=0.3), "pairs": f(2, PAIRS, 4 * hidden, scale=0.05), "rec": f(2, hidden, 4 * hidden, scale=1 / np.sqrt(hidden)),
-            "out": f(2 * hidden, n, scale=0.2), "bias": np.zeros(n, np.float32), "trans": f(n, n, scale=0.05), "start": np.zeros(n, np.float32),
+            "out": f(2 * hidden, n, scale=0.2), "bias": np.zeros(n, np.float32), "start": np.zeros(n, np.float32),
+            "leave": np.zeros(n, np.float32), "enter": np.zeros(len(labels) + 1, np.float32), "go_in": np.zeros(len(labels), np.float32), "stay_in": np.zeros(len(labels), np.float32),
         }
         self.p["chars"][:, :, hidden : 2 * hidden] += 1
         self.p["bias"][0] = 2
@@ -85,6 +86,17 @@ class Tagger:
             ok[inside - 1, inside] = ok[inside, inside] = True
         return ok
 
+    def transitions(self) -> np.ndarray:
+        """Scores of tag after tag. Into "outside" and into a begin tag: a part of the tag left and one of the tag entered; an inside tag follows
+        its own begin and inside tags only, with scores of their own."""
+        p, n = self.p, len(self.allowed)
+        t = np.full((n, n), -1e4, np.float32)
+        to = np.r_[0, np.arange(1, n, 2)]
+        t[:, to] = p["leave"][:, None] + p["enter"]
+        k = np.arange(1, n, 2)
+        t[k, k + 1], t[k + 1, k + 1] = p["go_in"], p["stay_in"]
+        return t
+
     def dump(self) -> bytes:
         """The weights, in half the width for the pair table, as bytes."""
         b = io.BytesIO()
@@ -154,7 +166,7 @@ class Tagger:
 
     # running
 
-    def tag(self, texts: list[str], window: int = 384, halo: int = 32, batch: int = 384) -> list[list[tuple[int, int, str]]]:
+    def tag(self, texts: list[str], window: int = 768, halo: int = 32, batch: int = 384) -> list[list[tuple[int, int, str]]]:
         """Spans (start, end, label) of each text.
 
         Texts are cut into windows that overlap by a halo on either side; each character takes its scores from the window in whose
@@ -191,59 +203,72 @@ class Tagger:
         tags = np.zeros(total, np.int16)
         if not total:
             return tags
-        trans = np.where(self.allowed, self.p["trans"], -1e4).astype(np.float32)
+        p, trans = self.p, self.transitions()
         stay = trans[0, 0]
-        start = self.p["start"].copy()
+        start = p["start"].copy()
         start[2::2] = -1e4
         first = np.zeros(total, bool)
         first[limits[:-1][limits[:-1] < total]] = True
-        into = trans.max(0) - stay
-        best = e[1] + into[1]
-        for k in range(2, len(e)):
-            np.maximum(best, e[k] + into[k], out=best)
-        best -= e[0]
-        best[first] = np.maximum(best[first], (e[1:, first] - e[0, first] + (start[1:] - start[0])[:, None]).max(0))
-        best = best.astype(np.float64)
-        last = np.r_[first[1:], True]
-        left, right = self._runs(best, first), self._runs(best[::-1], last[::-1])[::-1]
-        out = float(max(0.0, (trans[1:, 0] - stay).max()))
-        open_ = np.flatnonzero(left + right - best + out > -1e-3)
+
+        def most(rows: np.ndarray, add: np.ndarray) -> np.ndarray:
+            best = e[rows[0]] + add[0]
+            for k, x in zip(rows[1:], add[1:]):
+                np.maximum(best, e[k] + x, out=best)
+            return (best - e[0]).astype(np.float64)
+
+        begin = most(np.arange(1, len(e), 2), trans[0, 1::2] - stay)
+        begin[first] = (e[1::2, first] - e[0, first] + (start[1::2] - start[0])[:, None]).max(0)
+        go_on = most(np.arange(1, len(e)), trans[1:, 1:].max(0) - stay)
+        # sums don't run across sequences: each one's lie below those of the one before
+        go_on[first] -= np.abs(go_on).sum() + np.abs(begin).sum() + 1
+        sums = np.cumsum(go_on)
+        left = sums + np.maximum.accumulate(begin - sums)
+        right = np.maximum.accumulate(sums[::-1])[::-1] - sums
+        open_ = np.flatnonzero(left + right + max(0.0, float((trans[1:, 0] - stay).max())) > -1e-3)
         if not len(open_):
             return tags
         cut = np.flatnonzero((np.diff(open_) > 1) | first[open_[1:]])
-        begins, ends = open_[np.r_[0, cut + 1]], open_[np.r_[cut, len(open_) - 1]] + 1
-        order = np.argsort(ends - begins, kind="stable")
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
-            self._viterbi(e, begins[some], ends[some], first, last, trans, start, tags)
+        a, b = open_[np.r_[0, cut + 1]], open_[np.r_[cut, len(open_) - 1]] + 1
+        order = np.argsort(b - a, kind="stable")
+        last = np.r_[first[1:], True]
+        for k in range(0, len(order), 512):
+            some = order[k : k + 512]
+            self._viterbi(e, a[some], b[some], first, last, start, tags)
         return tags
 
-    @staticmethod
-    def _runs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The largest sum of a run that ends at each place and stays within its sequence; first: where sequences start."""
-        sums, number = np.cumsum(x), np.cumsum(first)
-        wall = (np.abs(x).sum() + 1.0) * number  # each sequence's sums lie below those of the one before
-        return sums - (np.minimum.accumulate(sums - x - wall) + wall)
-
-    @staticmethod
-    def _viterbi(e, begins, ends, first, last, trans, start, tags) -> None:
+    def _viterbi(self, e, begins, ends, first, last, start, tags) -> None:
         """Best tags of stretches, in order of length; before and after a stretch inside a sequence stands "outside"."""
+        p = self.p
         size = ends - begins
-        count, longest, n = len(begins), int(size[-1]), len(e)
-        score = e[:, begins].T + np.where(first[begins][:, None], start, trans[0])
-        back = np.empty((longest, count, n), np.int8)
+        count, longest = len(begins), int(size[-1])
+        leave, enter, go_in, stay_in = p["leave"][:, None], p["enter"], p["go_in"][:, None], p["stay_in"][:, None]
+        inner = np.full((len(e), 1), -1e4, np.float32)
+        inner[0], inner[1::2, 0] = p["leave"][0] + enter[0], p["leave"][0] + enter[1:]
+        score = e[:, begins] + np.where(first[begins], start[:, None], inner)
+        source, deeper = np.empty((longest, count), np.int8), np.empty((longest, len(go_in), count), bool)
+        on = np.searchsorted(size, np.arange(longest), side="right")  # at each step, those that go on are a suffix
         for t in range(1, longest):
-            on = np.searchsorted(size, t, side="right")  # those that go on
-            x = score[on:, :, None] + trans
-            arg = x.argmax(1)
-            back[t, on:] = arg
-            score[on:] = np.take_along_axis(x, arg[:, None], 1)[:, 0] + e[:, begins[on:] + t].T
-        tag = np.where(last[ends - 1], score.argmax(1), (score + trans[:, 0]).argmax(1))
+            k = on[t]
+            now = score[:, k:]
+            x = now + leave
+            source[t, k:] = x.argmax(0)
+            best = x.max(0)
+            here = e[:, begins[k:] + t]
+            from_begin, from_inside = now[1::2] + go_in, now[2::2] + stay_in
+            np.greater(from_inside, from_begin, out=deeper[t, :, k:])
+            here[2::2] += np.maximum(from_begin, from_inside)
+            here[0] += best + enter[0]
+            here[1::2] += best + enter[1:, None]
+            score[:, k:] = here
+        tag = np.where(last[ends - 1], score.argmax(0), (score + leave).argmax(0))
+        at = np.arange(count)
         for t in range(longest - 1, -1, -1):
-            on = np.searchsorted(size, t, side="right")
-            tags[begins[on:] + t] = tag[on:]
+            k = on[t]
+            tags[begins[k:] + t] = tag[k:]
             if t:
-                tag[on:] = back[t][np.arange(on, count), tag[on:]]
+                now = tag[k:]
+                inside = (now > 0) & (now % 2 == 0)
+                tag[k:] = np.where(inside, now - ~deeper[t, np.maximum(now // 2 - 1, 0), at[k:]], source[t, k:])
 
     def spans(self, tags: np.ndarray) -> list[tuple[int, int, str]]:
         """Spans (start, end, label) of a sequence of tags."""
@@ -304,9 +329,9 @@ class Tagger:
         forward, backward = hs[1:, 0], hs[1:, 1][::-1]
         both = np.concatenate([forward, backward], axis=2).reshape(t * b, 2 * h)
         e = (both @ p["out"] + p["bias"]).reshape(t, b, -1)
-        loss, de, dtrans, dstart = self._crf(e, tags)
+        loss, de, g = self._crf(e, tags)
         de2 = de.reshape(t * b, -1)
-        g = {"out": both.T @ de2, "bias": de2.sum(0), "trans": dtrans, "start": dstart}
+        g |= {"out": both.T @ de2, "bias": de2.sum(0)}
         dboth = (de2 @ p["out"].T).reshape(t, b, 2 * h)
         dh_out = np.stack([dboth[:, :, :h], dboth[::-1, :, h:]], axis=1)
         dz = np.empty_like(gates)
@@ -333,10 +358,10 @@ class Tagger:
                 g[name][d][keys] = np.add.reduceat(dz[:, d].reshape(t * b, 4 * h)[order], first, axis=0)
         return loss, g
 
-    def _crf(self, e: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Loss a character, and its gradients in emissions, transitions and start scores; scaled forward-backward."""
+    def _crf(self, e: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, dict]:
+        """Loss a character, and its gradients in tag scores and in the parts of transitions; scaled forward-backward."""
         t, b, n = e.shape
-        trans = np.where(self.allowed, self.p["trans"], -1e4)
+        trans = self.transitions()
         et = np.exp(trans).astype(np.float32)
         top = e.max(2, keepdims=True)
         ee = np.exp(e - top)
@@ -364,6 +389,7 @@ class Tagger:
         de[rows, cols, tags] -= 1
         seen = np.bincount((tags[:-1].astype(np.int64) * n + tags[1:]).ravel(), minlength=n * n).reshape(n, n)
         dstart = de[0].sum(0)
-        dtrans = np.where(self.allowed, pairs - seen, 0).astype(np.float32)
-        per = np.float32(1 / b)
-        return float((log_z - gold) / (t * b)), de * per, dtrans * per, dstart * per
+        d = (np.where(self.allowed, pairs - seen, 0) / b).astype(np.float32)
+        to, k = np.r_[0, np.arange(1, n, 2)], np.arange(1, n, 2)
+        parts = {"start": dstart / np.float32(b), "leave": d[:, to].sum(1), "enter": d[:, to].sum(0), "go_in": d[k, k + 1], "stay_in": d[k + 1, k + 1]}
+        return float((log_z - gold) / (t * b)), de * np.float32(1 / b), parts

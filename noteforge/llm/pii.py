@@ -57,7 +57,7 @@ def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels
     return np.array(ids, np.uint8).reshape(-1, size), np.array(tags, np.int16).reshape(-1, size)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 1500, steps: int = 900, hidden: int = 24, seed: int = 7) -> bytes:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 1500, steps: int = 900, hidden: int = 16, seed: int = 7) -> bytes:
     """Weights of a tagger, trained in one task on `sample` labelled notes (those with the smallest hashes of their ids).
 
     The sample bounds the work of training; what it holds depends on the rows only. Without any labelled note the tagger finds nothing.
@@ -96,14 +96,14 @@ _LOADED: dict[int, Tagger] = {}
 
 
 def _tag(weights, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Spans of texts, a block of about 200,000 characters at a time; the weights are unpacked once a process."""
+    """Spans of texts, a block of about 600,000 characters at a time; the weights are unpacked once a process."""
     key = weights.id if hasattr(weights, "id") else id(weights)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tagger.load(weights.value)
     out, block, size = [], [], 0
     for x in texts:
-        if size + len(x) > 200_000 and block:
+        if size + len(x) > 600_000 and block:
             out += _LOADED[key].tag(block)
             block, size = [], 0
         block.append(x)
