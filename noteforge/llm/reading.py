@@ -28,9 +28,11 @@ from noteforge.llm.shared import written
 #: Shares of documents that make a word familiar, list by list.
 SHARES = (0.3, 0.2, 0.1, 0.05, 0.02, 0.005)
 LEVELS = (1, 2, 3)
-_NOISE = re.compile(r"\S*\d\S*|\S{40,}")
-_SENTENCE = re.compile(r"\n|(?<=[.!?;])\s")
+#: Runs without blanks that hold a digit or are very long, but for a mark that ends a sentence after them.
+_NOISE = re.compile(r"(?<!\S)(?:[^\s\d]*+\d\S*?|\S{40,}?)(?=[.!?;]?(?:\s|\Z))")
+_PARTS = re.compile(r"[^\W\d_]+|\n|[.!?;](?=\s)")
 _WORD = re.compile(r"[^\W\d_]+")
+_ENDS = dict.fromkeys("\n.!?;", -1)
 
 
 def plain_language(lang: Column) -> Column:
@@ -39,11 +41,9 @@ def plain_language(lang: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2}$"), code)
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of the sentences of at least three words."""
-    # of the whole text, sentence by sentence, as noise may hold the marks that end sentences
-    out = [_WORD.findall(_NOISE.sub(" ", s)) for s in _SENTENCE.split(fold(text))]
-    return [s for s in out if len(s) >= 3]
+def running_words(text: str | None) -> list[str]:
+    """Words of a text outside of noise."""
+    return _WORD.findall(_NOISE.sub(" ", fold(text)))
 
 
 def familiar_words(docs: DataFrame, text: str = "text", lang: Column | None = None, least: int = 20) -> dict[str, dict[str, int]]:
@@ -60,7 +60,7 @@ def familiar_words(docs: DataFrame, text: str = "text", lang: Column | None = No
         for b in batches:
             for k, x in zip(b["lang"], b["text"]):
                 c = seen.setdefault(k, Counter())
-                c.update({w for s in sentences(x) for w in s})
+                c.update(set(running_words(x)))
                 c[""] += 1  # the number of documents
             if sum(map(len, seen.values())) > 300_000:
                 yield flush()
@@ -79,24 +79,54 @@ def familiar_words(docs: DataFrame, text: str = "text", lang: Column | None = No
     return out
 
 
-def features(text: str | None, lang: str | None, lists: dict[str, dict[str, int]]) -> np.ndarray:
-    """Features of a document: logarithms of lengths of sentences, medians and means of shares of unfamiliar words."""
-    found = sentences(text)
-    if not found:
-        return np.r_[np.full(5, np.log(12.0)), np.full(2 * len(SHARES), 0.3)]
+def _lists_of(parts: list[str], lang: str | None, lists: dict[str, dict[str, int]]) -> dict[str, int]:
     known = lists.get(lang)
     if known is None and lists:
-        common = {k: sum(v.get(w, 0) == len(SHARES) for s in found for w in s) for k, v in lists.items()}
+        common = {k: sum(v.get(w, 0) == len(SHARES) for w in parts) for k, v in lists.items()}
         known = lists[max(sorted(common), key=common.get)]
-    get = (known or {}).get
-    size = np.array([len(s) for s in found], float)
-    at = np.r_[0, np.cumsum(size[:-1])].astype(int)
-    x = np.array([get(w, 0) for s in found for w in s])
-    out = np.stack([np.add.reduceat(x < k, at, dtype=float) for k in range(1, len(SHARES) + 1)])
-    share = out / size
-    ordered = np.sort(size)
-    quarter = lambda q: ordered[int(q * (len(ordered) - 1) + 0.5)]
-    return np.r_[np.log([np.median(size), size.mean(), quarter(0.25), quarter(0.75), (size * size).sum() / size.sum()]), np.median(share, 1), out.sum(1) / size.sum()]
+    return known or {}
+
+
+def features(texts, langs, lists: dict[str, dict[str, int]]) -> np.ndarray:
+    """A row of features for each document: logarithms of lengths of sentences (median, mean, quartiles, mean by words), then medians and means of the
+    shares of unfamiliar words, list by list."""
+    ids, owner = [], []
+    for k, (text, lang) in enumerate(zip(texts, langs)):
+        parts = _PARTS.findall(_NOISE.sub(" ", fold(text)))
+        get = _lists_of(parts, lang, lists).get
+        ids += [-1 if p in _ENDS else get(p, 0) for p in parts]
+        ids.append(-1)
+        owner.append(len(ids))
+    out = np.empty((len(owner), 5 + 2 * len(SHARES)))
+    out[:, :5], out[:, 5:] = np.log(12.0), 0.3
+    x = np.array(ids, np.int8)
+    stop = np.flatnonzero(x == -1)
+    begin = np.r_[0, stop[:-1] + 1]
+    keep = stop - begin >= 3
+    begin, stop = begin[keep], stop[keep]
+    if not len(begin):
+        return out
+    doc = np.searchsorted(owner, stop, side="left")
+    size = (stop - begin).astype(float)
+    above = np.stack([np.r_[0, np.cumsum((x >= 0) & (x < k))] for k in range(1, len(SHARES) + 1)], axis=1)
+    unknown = (above[stop] - above[begin]).astype(float)
+    there, first, count = np.unique(doc, return_index=True, return_counts=True)
+    total = lambda v: np.add.reduceat(v, first, axis=0)
+
+    def ranked(v: np.ndarray) -> np.ndarray:
+        return v[np.lexsort((v, doc))]
+
+    def median(v: np.ndarray) -> np.ndarray:
+        r = ranked(v)
+        return (r[first + (count - 1) // 2] + r[first + count // 2]) / 2
+
+    ordered = ranked(size)
+    quarter = lambda q: ordered[first + (q * (count - 1) + 0.5).astype(int)]
+    words = total(size)
+    out[there, :5] = np.log(np.stack([median(size), words / count, quarter(0.25), quarter(0.75), total(size * size) / words], axis=1))
+    out[there, 5 : 5 + len(SHARES)] = np.stack([median(unknown[:, k] / size) for k in range(len(SHARES))], axis=1)
+    out[there, 5 + len(SHARES) :] = total(unknown) / words[:, None]
+    return out
 
 
 def fit_formula(x: np.ndarray, y: np.ndarray, rounds: int = 2000, penalty: float = 1e-3) -> dict:
@@ -136,7 +166,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id",
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, k, sent.value) for t, k in zip(b["text"], b["lang"])], **{f"y{k}": b[f"y{k}"] for k in LEVELS}})
+            yield pd.DataFrame({"x": list(features(b["text"], b["lang"], sent.value)), **{f"y{k}": b[f"y{k}"].to_numpy() for k in LEVELS}})
 
     got = rows.join(F.broadcast(rated), "id").mapInPandas(featured, "x array<double>, " + ", ".join(f"y{k} double" for k in LEVELS)).toPandas()  # at most `sample` rows
     formula = None
@@ -147,8 +177,9 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id",
 
     def levelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([features(t, k, sent.value) for t, k in zip(b["text"], b["lang"])]).reshape(len(b), -1)
-            if len(b):
-                yield pd.DataFrame({"id": b["id"], "level": level_of(x, formula), "unfamiliar": x[:, 5 + len(SHARES) + 3], "sentence_words": np.exp(x[:, 1])})
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                x = features(part["text"], part["lang"], sent.value)
+                yield pd.DataFrame({"id": part["id"].array, "level": level_of(x, formula), "unfamiliar": x[:, 5 + len(SHARES) + 3], "sentence_words": np.exp(x[:, 1])})
 
     return rows.mapInPandas(levelled, f"id {kind}, level int, unfamiliar double, sentence_words double").withColumnRenamed("id", id_col)
