@@ -1,20 +1,21 @@
 """Records that stand in two splits, exactly or nearly: a weighted cosine join between the splits.
 
-A text is a vector over its shingles of `width` folded words (no case, accents, punctuation, spacing or look-alike characters). A shingle weighs
-log(1 + N / n), n counting the documents of all splits that hold it or another shingle of its cell in a table of fixed size; the table
-is filled from all documents. Vectors have length 1.
+A text is a vector over its phrases. Its words are folded (no case, accents, punctuation, spacing or look-alike characters) and cut into phrases of
+about `length` words, between those neighbours whose common hash is divisible by `length`: where a phrase ends depends on the words there only, so an edit changes the
+phrase it is in, or two, and no others. A phrase weighs log(1 + N / n), n counting the documents of all splits that hold it or another phrase of its
+cell in a table of fixed size; the table is filled from all documents. Vectors have length 1.
 
 Inverted lists hold, of each vector, only what a pair at the threshold must share:
-- A shingle that no text of the other side holds adds nothing to any product. Which shingles the other side holds is known from a bit table of
-  fixed size (a shared bit keeps a shingle too many, never one too few). A vector whose other shingles' norm is below the threshold has
-  no partner at all and is left out.
+- A phrase that no text of the other side holds adds nothing to any product. Which phrases the other side holds is known from a bit table of
+  fixed size (a shared bit keeps a phrase too many, never one too few). A vector whose other phrases' norm is below the threshold has no
+  partner at all and is left out.
 - The rest is put in order of weight, largest first (ties by hash), with the norm that remains from each place on. Only places whose
   remaining norm reaches the threshold are indexed: a pair that shares none of them has a smaller product.
-- The first shared shingle of a pair at places i and j bounds its product by the product of the two remaining norms. Entries meet only if that
+- The first shared phrase of a pair at places i and j bounds its product by the product of the two remaining norms. Entries meet only if that
   reaches the threshold, and if the numbers of words admit enough common words.
 
-Candidates' vectors are then built whole and multiplied exactly; an exact check of common words and of their order follows. Texts with the same words form
-a class, which takes part once for each side, however many copies it has.
+The exact product of each pair of candidates is then taken from its two lists of phrases. Only pairs that reach the threshold have their texts read, for an
+exact check of common words and of their order. Texts with the same words form a class, which takes part once for each side, however many copies it has.
 
 Nulls: a null text, or one without words, has no partner; a null split counts as neither side. Copies within a class are all reported.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from noteforge.llm.normalise import fold
 from noteforge.llm.shared import written
 
-WIDTH, THRESHOLD = 5, 0.62
+LENGTH, THRESHOLD = 4, 0.5
 #: Least share of common words, of the longer text's, and of those in the same order.
 COMMON, ORDERED = 0.79, 0.65
 #: Sizes of the tables: counts and, for each side, bits; they are sent around in so many slices.
@@ -63,50 +64,54 @@ def hashes_of(words: list[str]) -> np.ndarray:
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Odd factors for the places of words in a phrase.
+_PLACES = np.random.default_rng(1).integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles_of(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashes of the runs of `width` words, in order; a shorter text is one shingle."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
+
+
+def phrases_of(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Distinct hashes of the phrases of a text, given those of its words."""
     n = len(hashes)
-    if n == 0:
-        return hashes
-    k = max(1, n - width + 1)
-    x = np.zeros(k, np.uint64)
-    for j in range(min(width, n)):
-        x = (x * _A) ^ hashes[j : j + k]
-        x ^= x >> np.uint64(29)
-        x *= _B
-    return np.unique(x)
+    if n < 2:
+        return _mixed(hashes * _A)
+    start = np.r_[0, np.flatnonzero(_mixed((hashes[:-1] * _A) ^ hashes[1:]) % np.uint64(length) == 0) + 1]
+    place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
+    return np.unique(_mixed(np.add.reduceat(_mixed(hashes) * _PLACES[place % len(_PLACES)], start)))
+
+
+def _bit(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _cell(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _batched(texts) -> tuple[np.ndarray, list[int]]:
-    """Shingles of many texts end to end, with the number of each text's."""
-    parts = [shingles_of(hashes_of(words_of(t))) for t in texts]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), [len(p) for p in parts]
+def _flat(column) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *column]).view(np.uint64)
 
 
-def tables(sides: DataFrame, cells: int = CELLS, bits: int = BITS) -> dict:
-    """The table of counts and the bit tables of sides 0 and 1, over all rows (side, text); their size doesn't depend on the data.
+def tables(rows: DataFrame, cells: int = CELLS, bits: int = BITS) -> dict:
+    """The table of counts and the bit tables of sides 0 and 1, over all rows (side, s array<bigint>); their size doesn't depend on the data.
 
     A partition fills its own tables; slices of them are merged by slice, so that no task holds more than a slice of each partition.
     """
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen, docs = np.zeros(cells, np.uint32), np.zeros((2, bits), bool), 0
+        counts, packed, docs = np.zeros(cells, np.uint32), np.zeros((2, bits // 8), np.uint8), 0
         for b in batches:
-            for side in (0, 1, None):
-                some = b["text"][b["side"].isna() if side is None else b["side"] == side]
-                for k in range(0, len(some), 500):
-                    x, sizes = _batched(some.iloc[k : k + 500])
-                    counts += np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-                    if side is not None:
-                        seen[side, (x >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
-                    docs += sum(n > 0 for n in sizes)
-        packed = np.packbits(seen, axis=1)
-        del seen
-        for s in range(SLICES):
-            c, p = np.array_split(counts, SLICES)[s], np.array_split(packed, SLICES, axis=1)[s]
-            yield pd.DataFrame({"slice": [s], "counts": [zlib.compress(c.tobytes(), 1)], "bits": [zlib.compress(np.ascontiguousarray(p).tobytes(), 1)], "docs": [docs if s == 0 else 0]})
+            docs += len(b)
+            counts += np.bincount(_cell(_flat(b["s"]), cells), minlength=cells).astype(np.uint32)
+            for side in (0, 1):
+                at = _bit(_flat(b["s"][b["side"] == side]), bits)
+                np.bitwise_or.at(packed[side], at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        for k in range(SLICES):
+            c, p = np.array_split(counts, SLICES)[k], np.array_split(packed, SLICES, axis=1)[k]
+            yield pd.DataFrame({"slice": [k], "counts": [zlib.compress(c.tobytes(), 1)], "bits": [zlib.compress(np.ascontiguousarray(p).tobytes(), 1)], "docs": [docs if k == 0 else 0]})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         counts, packed = 0, np.uint8(0)
@@ -116,33 +121,32 @@ def tables(sides: DataFrame, cells: int = CELLS, bits: int = BITS) -> dict:
         return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], "bits": [packed.tobytes()], "docs": [rows["docs"].sum()]})
 
     schema = "slice int, counts binary, bits binary, docs bigint"
-    got = sorted(sides.mapInPandas(fill, schema).groupBy("slice").applyInPandas(merge, schema).collect(), key=lambda r: r["slice"])
+    got = sorted(rows.select("side", "s").mapInPandas(fill, schema).groupBy("slice").applyInPandas(merge, schema).collect(), key=lambda r: r["slice"])
     if not got:
         return {"counts": np.zeros(cells, np.uint32), "bits": np.zeros((2, bits // 8), np.uint8), "docs": 0}
     return {"counts": np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]), "bits": np.concatenate([np.frombuffer(r["bits"], np.uint8).reshape(2, -1) for r in got], axis=1), "docs": sum(r["docs"] for r in got)}
 
 
-def vector(hashes: np.ndarray, t: dict, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """A text's shingles and their weights, of length 1 together."""
-    s = shingles_of(hashes, width)
-    n = t["counts"][(s & np.uint64(len(t["counts"]) - 1)).astype(np.int64)]
-    w = np.log1p(t["docs"] / np.maximum(n, 1))
-    return s, w / np.sqrt((w * w).sum())
+def weights_of(s: np.ndarray, t: dict) -> np.ndarray:
+    """Weights of phrases, before vectors are brought to length 1."""
+    return np.log1p(t["docs"] / np.maximum(t["counts"][_cell(s, len(t["counts"]))], 1))
 
 
-def indexed(s: np.ndarray, w: np.ndarray, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a vector to index against the bit table of the other side, and the norms that remain from each of them on."""
-    bits = len(other) * 8
-    at = (s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+def indexed(s: np.ndarray, t: dict, side: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a vector of `side`: the phrases the other side may hold, largest weight first, their weights in the vector of length 1, and the norms that remain
+    from each place to be indexed on. All empty if it can have no partner."""
+    w = weights_of(s, t)
+    w /= np.sqrt((w * w).sum())
+    other = t["bits"][1 - side]
+    at = _bit(s, 8 * len(other))
     there = (other[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     s, w = s[there], w[there]
     if not len(s) or (w * w).sum() < threshold * threshold - 1e-9:
-        return s[:0], w[:0]
+        return s[:0], w[:0], w[:0]
     order = np.lexsort((s, -w))
     s, w = s[order], w[order]
     rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-    n = int((rest >= threshold - 1e-9).sum())
-    return s[:n], rest[:n]
+    return s, w, rest[: int((rest >= threshold - 1e-9).sum())]
 
 
 def ordered_words(a: list[str], b: list[str]) -> int:
@@ -182,51 +186,70 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
     spark = docs.sparkSession
     side = split_side(F.col("split")) if side is None else side
     rows = docs.select(F.col(id_col).alias("id"), side.alias("side"), F.col(text).alias("text"))
-    t = tables(rows.where(F.col("text").isNotNull()).select("side", "text"), cells, bits)
-    sent = spark.sparkContext.broadcast(t)
+    kind = dict(docs.dtypes)[id_col]
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = sent.value
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, x, text in zip(b["id"], b["side"], b["text"]):
                 h = hashes_of(words_of(text))
-                if not len(h):
-                    continue
-                s, rest = indexed(*vector(h, t), t["bits"][1 - int(x)], threshold)
-                out.append((i, int(x), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), len(h), s.view(np.int64), rest.astype(np.float32)))
-            yield pd.DataFrame(out, columns=["id", "side", "node", "words", "s", "rest"])
+                if len(h):
+                    out.append((i, None if pd.isna(x) else int(x), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), len(h), phrases_of(h).view(np.int64)))
+            made = pd.DataFrame(out, columns=["id", "side", "node", "words", "s"])
+            yield made.assign(side=made["side"].astype("Int32"))
+
+    # texts are read and cut into words once; what follows works on numbers
+    table = written(rows.where(F.col("text").isNotNull()).mapInPandas(vectors, f"id {kind}, side int, node bigint, words int, s array<bigint>"), "overlap-phrases")
+    t = tables(table, cells, bits)
+    sent = spark.sparkContext.broadcast(t)
+    members = table.where("side IS NOT NULL").select("id", "side", "node")
 
-    kind = dict(docs.dtypes)[id_col]
-    entries = written(rows.where(F.col("side").isNotNull() & F.col("text").isNotNull()).mapInPandas(index, f"id {kind}, side int, node bigint, words int, s array<bigint>, rest array<float>"), "overlap-index")
-    members = entries.select("id", "side", "node")
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, node, n, s in zip(b["side"], b["node"], b["words"], b["s"]):
+                s, w, rest = indexed(s.view(np.uint64), sent.value, int(x), threshold)
+                if len(s):
+                    out.append((int(x), node, n, s.view(np.int64), w.astype(np.float32), rest.astype(np.float32)))
+            yield pd.DataFrame(out, columns=["side", "node", "words", "s", "w", "rest"])
+
+    entries = table.where("side IS NOT NULL").select("side", "node", "words", "s").mapInPandas(index, "side int, node bigint, words int, s array<bigint>, w array<float>, rest array<float>")
 
     def lists(k: int) -> DataFrame:
-        x = entries.where((F.col("side") == k) & (F.size("s") > 0)).select("node", "words", F.explode(F.arrays_zip("s", "rest")).alias("z"))
+        x = entries.where(F.col("side") == k).select("node", "words", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("rest")).alias("s"), "rest")).alias("z"))
         return x.select(F.col("z.s").alias("s"), F.col("node").alias(f"node_{k}"), F.col("words").alias(f"words_{k}"), F.col("z.rest").alias(f"rest_{k}")).dropDuplicates(["s", f"node_{k}"])
 
     meets = (F.col("rest_0") * F.col("rest_1") >= threshold - 1e-5) & (F.col("words_0") >= F.col("words_1") * common) & (F.col("words_1") >= F.col("words_0") * common) & (F.col("node_0") != F.col("node_1"))
     pairs = written(lists(0).join(lists(1), "s").where(meets).select("node_0", "node_1").distinct(), "overlap-pairs")
 
-    # the texts of one member of each class that has a candidate, brought together by pair
-    ends = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("node_0").alias("node")), F.struct(F.lit(1).alias("side"), F.col("node_1").alias("node")))).alias("e"), "node_0", "node_1").select("e.*", "node_0", "node_1")
-    heads = entries.groupBy("side", "node").agg(F.min("id").alias("id"))
-    wanted = ends.join(heads, ["side", "node"]).select("id", "side", "node_0", "node_1")
-    texts = wanted.join(rows.select("id", "text"), "id")
-    both = texts.groupBy("node_0", "node_1").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("b"))
+    # exact products, from the lists of one member of each class
+    heads = table.where("side IS NOT NULL").groupBy("side", "node").agg(F.min_by(F.struct("id", "s"), "id").alias("h")).select("side", "node", "h.id", "h.s")
+    with_0 = pairs.join(heads.where("side = 0").select(F.col("node").alias("node_0"), F.col("id").alias("id_0"), F.col("s").alias("s_0")), "node_0")
+    with_both = with_0.join(heads.where("side = 1").select(F.col("node").alias("node_1"), F.col("id").alias("id_1"), F.col("s").alias("s_1")), "node_1")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = sent.value
-        for batch in batches:
+        for b in batches:
             out = []
-            for p, q, a, b in batch[["node_0", "node_1", "a", "b"]].itertuples(index=False):
-                a, b = words_of(a), words_of(b)
-                (s, w), (z, v) = vector(hashes_of(a), t), vector(hashes_of(b), t)
-                _, i, j = np.intersect1d(s, z, assume_unique=True, return_indices=True)
-                cosine = float((w[i] * v[j]).sum())
-                if cosine >= threshold and alike(a, b, common, ordered):
-                    out.append((p, q, cosine))
-            yield pd.DataFrame(out, columns=["node_0", "node_1", "cosine"])
+            for p, q, i, j, x, y in b[["node_0", "node_1", "id_0", "id_1", "s_0", "s_1"]].itertuples(index=False):
+                x, y = x.view(np.uint64), y.view(np.uint64)
+                shared = np.intersect1d(x, y, assume_unique=True)
+                u, v, z = weights_of(x, t), weights_of(y, t), weights_of(shared, t)
+                cosine = float((z * z).sum() / np.sqrt((u * u).sum() * (v * v).sum()))
+                if cosine >= threshold:
+                    out.append((p, q, i, j, cosine))
+            yield pd.DataFrame(out, columns=["node_0", "node_1", "id_0", "id_1", "cosine"])
+
+    close = written(with_both.mapInPandas(multiply, f"node_0 bigint, node_1 bigint, id_0 {kind}, id_1 {kind}, cosine double"), "overlap-close")
+
+    # the exact check, on the texts of what is left, brought together by pair
+    ends = close.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("id_0").alias("id")), F.struct(F.lit(1).alias("side"), F.col("id_1").alias("id")))).alias("e"), "node_0", "node_1", "cosine").select("e.*", "node_0", "node_1", "cosine")
+    both = ends.join(rows.select("id", "text"), "id").groupBy("node_0", "node_1", "cosine").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("b"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = [alike(words_of(x), words_of(y), common, ordered) for x, y in zip(b["a"], b["b"])]
+            yield b.loc[good, ["node_0", "node_1", "cosine"]]
 
     near = both.mapInPandas(verify, "node_0 bigint, node_1 bigint, cosine double")
     same = members.groupBy("node").agg(F.count_if(F.col("side") == 0).alias("n_0"), F.count_if(F.col("side") == 1).alias("n_1")).where("n_0 > 0 AND n_1 > 0")
