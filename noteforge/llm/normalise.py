@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Letters of other scripts that look like Latin ones, and those (fixed values).
 LOOKALIKES = str.maketrans(
-    "аӑеёоіїјѕрсухԁһԛԝӏкмтвнАВЕЁЗКМНОРСТУХІЇЈЅԌԚԜӀ" + "αορνικτυχγηωεμΑΒΕΖΗΙΚΜΝΟΡΤΥΧόά",
-    "aăeëoiïjspcyxdhqwlkmtbhABEË3KMHOPCTYXIÏJSGQWl" + "aopviktuxynweµABEZHIKMNOPTYXóá",
+    "аеоіјѕрсухԁһԛԝӏкмтвнАВЕЗКМНОРСТУХІЈЅԌԚԜӀ" + "αορνικτυχγηωεμΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
+    "aeoijspcyxdhqwlkmtbhABE3KMHOPCTYXIJSGQWl" + "aopviktuxynweµABEZHIKMNOPTYX",
 )
 #: What a hyphen other than `-` may be (fixed values): hyphen, non-breaking hyphen, figure dash, small and full-width hyphen, Armenian and Mongolian ones.
 HYPHENS = r"\u2010\u2011\u2012\ufe63\uff0d\u058a\u1806"
@@ -91,7 +91,7 @@ def _canonical_segment(s: str) -> str:
         s = "".join([*kept, _INVISIBLE.sub("", s[at:])])
     s = unicodedata.normalize("NFC", s)
     if _FOREIGN.search(s):
-        s = _WORD.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(LOOKALIKES)) if is_mixed(m[0]) else m[0], s)
+        s = _WORD.sub(lambda m: unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(LOOKALIKES)) if is_mixed(m[0]) else m[0], s)
     return s
 
 

@@ -89,9 +89,17 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_redacted, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
 
+_UNUSUAL = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2010}-\x{2012}\x{58a}\x{1806}\x{ff01}-\x{ffdc}\x{ffe0}-\x{ffee}\x{fb00}-\x{fb06}\x{fb13}-\x{fb17}\x{fb1d}-\x{fb4f}\x{fe50}-\x{fe6b}]"
+_MIXED = r"\p{Latin}[\p{L}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}]|[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}][\p{L}\p{M}]*\p{Latin}"
+
 ORACLE: dict[str, str] = {
     "p2_found": r"""
-SELECT doc_id, CASE WHEN list_max(list_transform(string_split(text, chr(10)), x -> length(x))) <= 2000 THEN 'line'
-  WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\n]'), x -> length(x))) <= 2000 THEN 'word' ELSE 'char' END AS cut_level
+SELECT doc_id, CASE WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) <= 2000 THEN 'line'
+  WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\n]'), lambda x: length(x))) <= 2000 THEN 'word' ELSE 'char' END AS cut_level
 FROM documents WHERE length(text) > 2000""",
+    "p3_found": rf"""
+WITH terms AS (SELECT doc_id, unnest(flatten(map_values(context))) AS s FROM documents), fields AS (SELECT doc_id, 'text' AS field, text AS s FROM documents UNION ALL SELECT doc_id, 'context', s FROM terms),
+-- joiners and selectors within an emoji are no case
+bare AS (SELECT doc_id, field, regexp_replace(s, '[\x{{2190}}-\x{{2bff}}\x{{1f000}}-\x{{1faff}}][\x{{fe0e}}\x{{fe0f}}\x{{1f3fb}}-\x{{1f3ff}}]*(\x{{200d}}[\x{{2190}}-\x{{2bff}}\x{{1f000}}-\x{{1faff}}]\x{{fe0f}}?)*', '', 'g') AS s FROM fields)
+SELECT DISTINCT doc_id, field FROM bare WHERE regexp_matches(s, '{_UNUSUAL}') OR nfc_normalize(s) <> s OR regexp_matches(s, '{_MIXED}')""",
 }
