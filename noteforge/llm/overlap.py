@@ -2,8 +2,9 @@
 
 A text is a vector over its phrases. Its words are folded (no case, accents, punctuation, spacing or look-alike characters) and cut into phrases of
 about `length` words, between those neighbours whose common hash is divisible by `length`: where a phrase ends depends on the words there only, so an edit changes the
-phrase it is in, or two, and no others. A phrase weighs log(1 + N / n), n counting the documents of all splits that hold it or another phrase of its
-cell in a table of fixed size; the table is filled from all documents. Vectors have length 1.
+phrase it is in, or two, and no others. A phrase weighs the root of log(1 + N / n), n counting the texts of all splits that hold it or another phrase of its
+cell in a table of fixed size; the table is filled from all documents, texts with the same words counting once for each side, as many copies of one text would
+else make its own phrases weigh little against an edit. Vectors have length 1.
 
 Inverted lists hold, of each vector, only what a pair at the threshold must share:
 - A phrase that no text of the other side holds adds nothing to any product. Which phrases the other side holds is known from a bit table of
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from noteforge.llm.normalise import fold
 from noteforge.llm.shared import written
 
-LENGTH, THRESHOLD = 4, 0.5
+LENGTH, THRESHOLD = 6, 0.48
 #: Least share of common words, of the longer text's, and of those in the same order.
 COMMON, ORDERED = 0.79, 0.65
 #: Sizes of the tables: counts and, for each side, bits; they are sent around in so many slices.
@@ -129,7 +130,7 @@ def tables(rows: DataFrame, cells: int = CELLS, bits: int = BITS) -> dict:
 
 def weights_of(s: np.ndarray, t: dict) -> np.ndarray:
     """Weights of phrases, before vectors are brought to length 1."""
-    return np.log1p(t["docs"] / np.maximum(t["counts"][_cell(s, len(t["counts"]))], 1))
+    return np.sqrt(np.log1p(t["docs"] / np.maximum(t["counts"][_cell(s, len(t["counts"]))], 1)))
 
 
 def indexed(s: np.ndarray, t: dict, side: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,9 +201,11 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
 
     # texts are read and cut into words once; what follows works on numbers
     table = written(rows.where(F.col("text").isNotNull()).mapInPandas(vectors, f"id {kind}, side int, node bigint, words int, s array<bigint>"), "overlap-phrases")
-    t = tables(table, cells, bits)
-    sent = spark.sparkContext.broadcast(t)
     members = table.where("side IS NOT NULL").select("id", "side", "node")
+    # one member of each class stands for it: in the counts, in the lists, and in the check
+    heads = written(table.groupBy("side", "node").agg(F.min_by(F.struct("id", "words", "s"), "id").alias("h")).select("side", "node", "h.*"), "overlap-classes")
+    t = tables(heads, cells, bits)
+    sent = spark.sparkContext.broadcast(t)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -213,17 +216,16 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
                     out.append((int(x), node, n, s.view(np.int64), w.astype(np.float32), rest.astype(np.float32)))
             yield pd.DataFrame(out, columns=["side", "node", "words", "s", "w", "rest"])
 
-    entries = table.where("side IS NOT NULL").select("side", "node", "words", "s").mapInPandas(index, "side int, node bigint, words int, s array<bigint>, w array<float>, rest array<float>")
+    entries = heads.where("side IS NOT NULL").select("side", "node", "words", "s").mapInPandas(index, "side int, node bigint, words int, s array<bigint>, w array<float>, rest array<float>")
 
     def lists(k: int) -> DataFrame:
         x = entries.where(F.col("side") == k).select("node", "words", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("rest")).alias("s"), "rest")).alias("z"))
-        return x.select(F.col("z.s").alias("s"), F.col("node").alias(f"node_{k}"), F.col("words").alias(f"words_{k}"), F.col("z.rest").alias(f"rest_{k}")).dropDuplicates(["s", f"node_{k}"])
+        return x.select(F.col("z.s").alias("s"), F.col("node").alias(f"node_{k}"), F.col("words").alias(f"words_{k}"), F.col("z.rest").alias(f"rest_{k}"))
 
     meets = (F.col("rest_0") * F.col("rest_1") >= threshold - 1e-5) & (F.col("words_0") >= F.col("words_1") * common) & (F.col("words_1") >= F.col("words_0") * common) & (F.col("node_0") != F.col("node_1"))
     pairs = written(lists(0).join(lists(1), "s").where(meets).select("node_0", "node_1").distinct(), "overlap-pairs")
 
     # exact products, from the lists of one member of each class
-    heads = table.where("side IS NOT NULL").groupBy("side", "node").agg(F.min_by(F.struct("id", "s"), "id").alias("h")).select("side", "node", "h.id", "h.s")
     with_0 = pairs.join(heads.where("side = 0").select(F.col("node").alias("node_0"), F.col("id").alias("id_0"), F.col("s").alias("s_0")), "node_0")
     with_both = with_0.join(heads.where("side = 1").select(F.col("node").alias("node_1"), F.col("id").alias("id_1"), F.col("s").alias("s_1")), "node_1")
 

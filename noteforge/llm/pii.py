@@ -26,9 +26,9 @@ def gold_spans(entities, labels=LABELS) -> list[tuple[int, int, str]]:
     """Spans with a known label, in one spelling."""
     out = []
     for e in entities if entities is not None else ():
-        label = (e["label"] or "").strip().upper()
+        label = (e.get("label") or "").strip().upper()
         label = ALIASES.get(label, label)
-        if label in labels and e["start"] is not None and e["end"] is not None:
+        if label in labels and e.get("start") is not None and e.get("end") is not None:
             out.append((e["start"], e["end"], label))
     return out
 
