@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noteforge.functions import text as tx
-from noteforge.operators import calibration, chunks, lines, metrics, rejects, rules, spans
+from noteforge.operators import alignment, calibration, chunks, lines, metrics, rejects, rules, spans
 from noteforge.operators.router import LineRouter, RouterConfig
 from noteforge.plans.adapters import LexiconAdapter
 from noteforge.plans.pipeline import Deidentifier, routed
@@ -138,6 +138,11 @@ def strict_spans(spark, folder):
     return _longs(spans.align_spans(_spans(spark, folder).distinct(), spans.tokens(_docs(spark, folder)), "strict"))
 
 
+def aligned_gold(spark, folder):
+    docs = _annotated(spark, folder)
+    return _longs(alignment.aligned_gold(docs, spans.gold_spans(docs), spans.tokens(docs)))
+
+
 def line_rule_overlaps(spark, folder):
     return _longs(spans.line_span_overlaps(lines.split_lines(_docs(spark, folder)), _spans(spark, folder, 1)))
 
@@ -283,7 +288,7 @@ def fitted_profiles(spark, folder):
 
 
 _NAMES = """p5_found p5_loaded_notes p5_loaded_spans line_split line_stats_by_lang normal_forms line_shapes line_words neighbour_words char_ngrams feature_buckets position_length_buckets
-label_inventory overlapping_annotations refined_token_bounds trimmed_spans merged_spans expanded_spans strict_spans line_rule_overlaps rule_coverage residual_lines class_balance latest_scores
+label_inventory overlapping_annotations refined_token_bounds trimmed_spans merged_spans expanded_spans strict_spans aligned_gold line_rule_overlaps rule_coverage residual_lines class_balance latest_scores
 selected_by_profile packed_texts packed_segments projected_spans routed_all_lines routed_balanced routed_rules_only exact_metrics exact_metrics_by_label character_recall group_recall
 calibration_points calibrated_profiles rule_span_counts rule_spans mail_values training_chunks router_scores predict_end_to_end fitted_profiles"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -404,6 +409,10 @@ SELECT doc_id, span_start + lead_length AS span_start, span_start + lead_length
     "merged_spans": f"WITH {_SPANS}, {_merged('united', 'valid')} SELECT * FROM united",
     "expanded_spans": f"WITH {_TOUCHED} SELECT doc_id, first_start AS span_start, last_end AS span_end, label, source FROM touched",
     "strict_spans": f"WITH {_TOUCHED} SELECT doc_id, span_start, span_end, label, source FROM touched WHERE first_start = span_start AND last_end = span_end",
+    "aligned_gold": f"""WITH {_GOLD}, {_TOKENS}, wide AS (SELECT g.doc_id, span_start, span_end, label, min(token_start) AS s, max(token_end) AS e, count(*) AS n FROM (SELECT DISTINCT * FROM gold) g JOIN tokens t ON g.doc_id = t.doc_id AND token_start < span_end AND span_start < token_end GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e, span_start, span_end, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM wide),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e, span_start, span_end, label ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT doc_id, min(s) AS span_start, max(e) AS span_end, arg_min(label, (-n, s, span_start, span_end, label)) AS label FROM islands GROUP BY doc_id, island""",
     "line_rule_overlaps": f"WITH {_SPANS}, {_LINES} SELECT l.doc_id, line_no::BIGINT AS line_no, span_start, span_end, label FROM lines l JOIN valid v ON v.source = 1 AND v.doc_id = l.doc_id AND span_start < line_end AND line_start < span_end",
     "rule_coverage": f"""WITH {_SPANS}, {_LINES}, {_ANNOTATED}, rule_spans AS (SELECT * FROM valid WHERE source = 1), {_merged("ranges", "rule_spans")},
 hits AS (SELECT l.doc_id, line_no, least(8, count(*)) AS n_rules, array_to_string(list_sort(list_distinct(list(label))), ',') AS rules FROM lines l JOIN rule_spans v ON v.doc_id = l.doc_id AND span_start < line_end AND line_start < span_end GROUP BY ALL),
