@@ -29,16 +29,16 @@ def sentence_ends(text: str, tokens: list[tuple[int, int]], spans: list[tuple[in
 def chunk_bounds(ends: list[int], most: int, chance: random.Random) -> list[tuple[int, int]]:
     """Chunks of tokens: sentences are gathered until they exceed `most`; then pieces of random length, mostly near `most`, are cut off, and the rest closes
     at the end of the sentence. What remains at the end is the last chunk."""
-    out, start, end = [], 0, 0
-    for end in ends:
-        if end - start > most:
-            while end - start > most:
-                size = max(1, int(most * chance.random() ** 0.3))
-                out.append((start, start + size))
-                start += size
-            out.append((start, end))
-            start = end
-    return [*out, (start, end)] if start < end else out
+    out, opened = [], 0
+    for close in ends:
+        if close - opened <= most:
+            continue
+        cuts = [opened]
+        while close - cuts[-1] > most:
+            cuts.append(cuts[-1] + max(1, int(most * chance.random() ** 0.3)))
+        out += zip(cuts, [*cuts[1:], close])
+        opened = close
+    return out + [(opened, ends[-1])] * bool(ends and opened < ends[-1])
 
 
 def training_chunks(docs: DataFrame, max_length: int = 384, seed: int = 42) -> DataFrame:

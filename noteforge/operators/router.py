@@ -36,21 +36,13 @@ class RouterConfig:
     ngrams: tuple[int, ...] = (3, 4, 5)
 
     def __post_init__(self):
-        for name in ("dimension", "epochs", "seed"):
-            if type(getattr(self, name)) is not int:
-                raise TypeError(f"{name} must be an integer")
-        if not isinstance(self.ngrams, tuple) or any(type(n) is not int for n in self.ngrams):
-            raise TypeError("ngrams must be a tuple of integers")
-        if isinstance(self.learning_rate, bool) or not isinstance(self.learning_rate, Real):
-            raise TypeError("learning_rate must be a number")
-        if self.dimension < 1024:
-            raise ValueError("dimension must be at least 1024")
-        if self.epochs < 1:
-            raise ValueError("epochs must be positive")
-        if not (math.isfinite(self.learning_rate) and self.learning_rate > 0):
-            raise ValueError("learning_rate must be finite and positive")
-        if not self.ngrams or min(self.ngrams) < 1:
-            raise ValueError("ngrams must be positive")
+        whole = lambda x: type(x) is int
+        kinds = {"dimension": whole, "epochs": whole, "seed": whole, "learning_rate": lambda x: isinstance(x, Real) and not isinstance(x, bool), "ngrams": lambda x: isinstance(x, tuple) and all(map(whole, x))}
+        ranges = {"dimension": lambda x: x >= 1024, "epochs": lambda x: x > 0, "learning_rate": lambda x: 0 < x < math.inf, "ngrams": lambda x: x and min(x) > 0}
+        for checks, error in ((kinds, TypeError), (ranges, ValueError)):
+            for name, fits in checks.items():
+                if not fits(getattr(self, name)):
+                    raise error(f"{name} can't be {getattr(self, name)!r}")
 
 
 def line_bounds(text: str) -> list[tuple[int, int]]:

@@ -16,7 +16,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from noteforge.operators.spans import TOKEN, longest_first
+from noteforge.operators.spans import longest_first
 
 SPANS = "array<struct<span_start:int,span_end:int,label:string>>"
 
@@ -79,17 +79,60 @@ _QUOTES = str.maketrans("’‘ʼ′“”«»", "''''\"\"\"\"")
 _EDGE = punctuation + " \t\r\n\f\v  "
 
 
+class _Folds(dict):
+    """Folds of characters by code point, made when first asked for."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point).translate(_QUOTES)
+        if not c.isascii():
+            d = unicodedata.normalize("NFKD", c.lower())
+            c = d[0] if d and not unicodedata.combining(d[0]) else c
+        self[point] = c = c.lower() if len(c.lower()) == 1 else c
+        return c
+
+
+_FOLDS = _Folds()
+_LATIN = "".join(_FOLDS[k] for k in range(256))
+#: The folds of Latin-1 as a table of bytes; 0 where the fold lies outside.
+_LATIN_BYTES = bytes(ord(c) if ord(c) < 256 else 0 for c in _LATIN)
+
+
 def same_length_fold(text: str) -> str:
     """Small letters without accents and plain quotes, character by character."""
     if text.isascii():
         return text.lower()
-    out = []
-    for c in text.translate(_QUOTES):
-        if not c.isascii():
-            d = unicodedata.normalize("NFKD", c.lower())
-            c = d[0] if d and not unicodedata.combining(d[0]) else c
-        out.append(c.lower() if len(c.lower()) == 1 else c)
-    return "".join(out)
+    try:
+        b = text.encode("latin-1").translate(_LATIN_BYTES)
+        if b"\0" not in b:
+            return b.decode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    return text.translate(_FOLDS)
+
+
+def _mails(folded: str) -> list[tuple[int, int, str]]:
+    """Mail addresses: only stretches around an @ that hold nothing else are searched. A quoted local part may hold anything, so its line is."""
+    spans, done, at = [], 0, folded.find("@")
+    while at >= 0:
+        low = at
+        while low > done and (folded[low - 1].isalnum() and folded[low - 1].isascii() or folded[low - 1] in "!#$%&'*+/=?^_`{|}~. -"):
+            low -= 1
+        if low > done and folded[low - 1] == '"':
+            low = max(done, folded.rfind("\n", done, low) + 1)
+        high = folded.find("\n", at)
+        m = MAIL.search(folded, low, len(folded) if high < 0 else high)
+        if m and m.start() <= at:
+            spans.append((*m.span(), "MAIL"))
+            done = m.end()
+        else:
+            done = at + 1
+        at = folded.find("@", max(done, at + 1))
+    return spans
+
+
+def mail_values(folded: str) -> list[str]:
+    """Mail addresses of a fold, as they stand there."""
+    return [folded[s:e] for s, e, _ in _mails(folded)]
 
 
 def _addresses(text: str, folded: str, cased: bool) -> list[tuple[int, int, str]]:
@@ -157,11 +200,28 @@ def cleaned(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
     kept = [(*t, label) for s, e, label in spans if (t := trimmed(text, s, e, label))]
     if not kept:
         return []
-    starts, ends = {}, {}
-    for m in TOKEN.finditer(text):
-        for p in range(*m.span()):
-            starts[p], ends[p + 1] = m.start(), m.end()
-    return unite([(starts[s], ends[e], label, 0) for s, e, label in kept])
+    return unite([(_token_start(text, s), _token_end(text, e), label, 0) for s, e, label in kept])
+
+
+def _kind(c: str) -> int:
+    """Of a character, the kind of token it is part of: 1 digits, 2 letters, 3 blanks, 0 a token of its own."""
+    return 1 if c.isdecimal() else 2 if c.isalnum() else 3 if c.isspace() and c != "\n" else 0
+
+
+def _token_start(text: str, s: int) -> int:
+    """Start of the token that holds the character at s."""
+    k = _kind(text[s])
+    while k and s and _kind(text[s - 1]) == k:
+        s -= 1
+    return s
+
+
+def _token_end(text: str, e: int) -> int:
+    """End of the token that holds the character before e."""
+    k = _kind(text[e - 1])
+    while k and e < len(text) and _kind(text[e]) == k:
+        e += 1
+    return e
 
 
 def rule_spans(text: str | None, context=None, case_preserving: bool = False) -> list[tuple[int, int, str]]:
@@ -169,7 +229,7 @@ def rule_spans(text: str | None, context=None, case_preserving: bool = False) ->
     if not text:
         return []
     folded = same_length_fold(text)
-    spans = [(*m.span(), label) for p, label in ((PHONE, "TEL"), (MAIL, "MAIL"), (IDENTITY, "SECU")) for m in p.finditer(folded)] if any(c.isdigit() or c == "@" for c in folded) else []
+    spans = _mails(folded) + [(*m.span(), label) for p, label in ((PHONE, "TEL"), (IDENTITY, "SECU")) for m in p.finditer(folded)]
     return cleaned(text, spans + _addresses(text, folded, case_preserving) + _context(folded, context))
 
 

@@ -253,7 +253,7 @@ def rule_spans(spark, folder):
 def mail_values(spark, folder):
     @F.pandas_udf("array<string>")
     def found(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: rules.MAIL.findall(rules.same_length_fold(t)), na_action="ignore")
+        return text.map(lambda t: rules.mail_values(rules.same_length_fold(t)), na_action="ignore")
 
     return _docs(spark, folder).select("doc_id", F.explode(found("text")).alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
