@@ -63,9 +63,12 @@ def bigrams(tokens: Column) -> Column:
 
 
 def ngrams(text: Column, size: int) -> Column:
-    """Runs of `size` characters, in order; none of a shorter text."""
+    """Runs of `size` characters, in order; none of a shorter text. One look-ahead scan; texts with characters beyond the basic plane, whose halves the
+    scan would also stop at, are cut by place, which takes the square of their length."""
     n = F.length(text)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))).when(n >= 0, F.array().cast("array<string>"))
+    scanned = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    placed = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(n >= size, F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), placed).otherwise(scanned)).when(n >= 0, F.array().cast("array<string>"))
 
 
 def bucket(value: Column, dimension: int) -> Column:

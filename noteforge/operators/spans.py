@@ -87,14 +87,10 @@ TOKEN = re.compile(r"\d+|[^\W\d_]+|\n|[^\S\n]+|.", re.DOTALL)
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, token_no, token_start, token_end, token) of all texts."""
-    from noteforge.functions.text import running_sums
-
-    parts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s){TOKEN_PATTERN}"), F.lit(0)).alias("parts"))
-    ends = running_sums(F.transform("parts", lambda p: F.length(p).cast("long")))
-    rows = parts.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("token"), ends.alias("e"))).alias("token_no", "z"))
-    end = F.col("z.e").cast("int")
-    return rows.select("doc_id", "token_no", (end - F.length("z.token")).alias("token_start"), end.alias("token_end"), F.col("z.token").alias("token"))
+    """(doc_id, token_no, token_start, token_end, token) of all texts. Offsets are running sums by document, whose exchange later joins by document share."""
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s){TOKEN_PATTERN}"), F.lit(0))).alias("token_no", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy("doc_id").orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return rows.withColumn("token_end", end).select("doc_id", "token_no", (F.col("token_end") - F.length("token")).alias("token_start"), "token_end", "token")
 
 
 def align_spans(spans: DataFrame, toks: DataFrame, mode: str = "expand") -> DataFrame:

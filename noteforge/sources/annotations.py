@@ -7,9 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noteforge.operators.rejects import decode
-from noteforge.operators.spans import TOKEN_PATTERN
+from noteforge.operators.spans import tokens
 
 SCHEMA = "doc_id bigint, text string, entities array<struct<start:int,end:int,label:string>>, context map<string,array<string>>"
 
@@ -66,13 +67,11 @@ def documents_from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 def refined_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, token_no, token_start, token_end): stretches between neighbouring places among the ends of the text, of tokens and of gold spans, so that spans begin and end
-    with them even inside a word. Computed within each row."""
-    from noteforge.functions.text import running_sums
-
-    parts = F.regexp_extract_all("text", F.lit(f"(?s){TOKEN_PATTERN}"), F.lit(0))
-    ends = running_sums(F.transform(parts, lambda p: F.length(p).cast("long")))
-    gold = F.coalesce(F.flatten(F.transform("entities", lambda e: F.array(e["start"].cast("long"), e["end"].cast("long")))), F.array().cast("array<bigint>"))
-    places = docs.select("doc_id", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), ends, gold))).alias("p"))
-    n = F.size("p")
-    pairs = F.when(n > 1, F.arrays_zip(F.slice("p", F.lit(1), n - 1).alias("s"), F.slice("p", F.lit(2), n - 1).alias("e")))
-    return places.select("doc_id", F.posexplode(pairs).alias("token_no", "z")).select("doc_id", "token_no", F.col("z.s").cast("int").alias("token_start"), F.col("z.e").cast("int").alias("token_end"))
+    with them even inside a word."""
+    ends = tokens(docs).select("doc_id", F.col("token_end").alias("p"))
+    gold = docs.select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.explode(F.array("e.start", "e.end")).alias("p"))
+    start = docs.where("text IS NOT NULL").select("doc_id", F.lit(0).alias("p"))
+    places = ends.unionByName(gold).unionByName(start).where("p IS NOT NULL").distinct()
+    w = Window.partitionBy("doc_id").orderBy("p")
+    pairs = places.select("doc_id", (F.row_number().over(w) - 1).alias("token_no"), F.col("p").alias("token_start"), F.lead("p").over(w).alias("token_end"))
+    return pairs.where("token_end IS NOT NULL")

@@ -35,7 +35,7 @@ def test_python_model_of_lines(texts):
 
 
 def test_text_functions_in_spark_equal_python(spark):
-    texts = ["Élève N°12", "", None, "a_b Ж c1 d", "x" * 3, "ab", "été\xa0 ²3"]
+    texts = ["Élève N°12", "", None, "a_b Ж c1 d", "x" * 3, "ab", "été\xa0 ²3", "a🌿b🌿\nc", "\n\n\n\n"]
     df = _docs(spark, *texts).withColumn("n", tx.normal_form("text")).withColumn("w", tx.words(F.col("n")))
     got = df.select("doc_id", "n", "w", tx.bigrams(F.col("w")).alias("b"), tx.shape(F.col("text")).alias("s"), tx.ngrams(F.col("text"), 3).alias("g"), tx.bucket(F.col("text"), 1024).alias("k"), tx.alnum_count(F.col("text")).alias("a")).orderBy("doc_id").collect()
     import zlib
