@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteforge.functions.sampling import smallest_hashes
 from noteforge.functions.text import BIAS, WORD, fold_line, line_shape
 
 
@@ -153,7 +154,7 @@ class LineRouter:
         if (config.dimension, config.ngrams) != (self.config.dimension, self.config.ngrams):
             raise ValueError("dimension and ngrams of a router cannot change")
         wanted = frozenset(targets)
-        chosen = docs.where(F.col("text").isNotNull() & F.col("entities").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "text", "rules", "entities")
+        chosen = smallest_hashes(docs.where(F.col("text").isNotNull() & F.col("entities").isNotNull()), "doc_id", sample).select("doc_id", "text", "rules", "entities")
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

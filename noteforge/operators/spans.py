@@ -45,13 +45,14 @@ def valid_spans(spans: DataFrame) -> DataFrame:
 def merge_spans(spans: DataFrame) -> DataFrame:
     """(doc_id, span_start, span_end, label): overlapping spans united, so that no covered character is lost. Spans that only touch stay apart.
 
-    The union has the label of its longest span; of those the leftmost, then the model's before a rule's, then the first label by name. One
+    The union has the label of its longest span; of those the leftmost, then the model's before a rule's, then the first label by name. A span starts
+    a union if no span that starts before it reaches over its start; the union's key is that start, so equal spans can't part. One
     exchange by document serves the windows and the aggregation.
     """
-    w = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
-    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.select("doc_id", "span_start", "span_end", "label", "source").withColumn("new", F.when(F.col("span_start") < reach, 0).otherwise(1))
-    islands = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("doc_id").orderBy("span_start")
+    reach = F.max("span_end").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    marked = spans.select("doc_id", "span_start", "span_end", "label", "source").withColumn("first", F.when(F.col("span_start") < reach, None).otherwise(F.col("span_start")))
+    islands = marked.withColumn("island", F.max("first").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     best = F.struct(-(F.col("span_end") - F.col("span_start")), "span_start", "source", "label")
     return islands.groupBy("doc_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.min_by("label", best).alias("label")).drop("island")
 

@@ -322,8 +322,8 @@ _SCORES = """latest AS (SELECT doc_id, line_no::BIGINT AS line_no, arg_max(score
 
 def _merged(name: str, source: str) -> str:
     """Overlapping spans of a table united, as `name`."""
-    return f"""{name}_1 AS (SELECT *, CASE WHEN span_start < max(span_end) OVER (PARTITION BY doc_id ORDER BY span_start, span_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {source}),
-{name}_2 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY span_start, span_end ROWS UNBOUNDED PRECEDING) AS island FROM {name}_1),
+    return f"""{name}_1 AS (SELECT *, CASE WHEN span_start < max(span_end) OVER (PARTITION BY doc_id ORDER BY span_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN NULL ELSE span_start END AS fresh FROM {source}),
+{name}_2 AS (SELECT *, max(fresh) OVER (PARTITION BY doc_id ORDER BY span_start RANGE UNBOUNDED PRECEDING) AS island FROM {name}_1),
 {name} AS (SELECT doc_id, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(label, (span_start - span_end, span_start, source, label)) AS label FROM {name}_2 GROUP BY doc_id, island)"""
 
 

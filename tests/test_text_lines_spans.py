@@ -142,3 +142,13 @@ def test_coverage_counts_characters_once(spark):
     rules = spark.createDataFrame([(0, 0, 4, "A", 1), (0, 2, 6, "B", 1)], SPAN)
     got = _rows(spans.rule_coverage(lines.split_lines(docs), rules), "line_no")
     assert got == [(0, 0, 2, "A,B", 5, 8, 6), (0, 1, 0, "", 0, 2, 0)]
+
+
+def test_samples_are_bounded_and_depend_on_rows_only(spark):
+    from noteforge.functions.sampling import smallest_hashes
+
+    df = spark.range(5000)
+    got = [r["id"] for r in smallest_hashes(df, "id", 100, 3).collect()]
+    assert got == [r["id"] for r in df.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(100).collect()]
+    assert got == [r["id"] for r in smallest_hashes(df.repartition(7), "id", 100, 3).collect()]
+    assert smallest_hashes(df.limit(50), "id", 100).count() == 50 and smallest_hashes(df.limit(0), "id", 5).count() == 0
