@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteforge.functions.sampling import smallest_hashes
 from noteforge.llm.crf_tagger import Tagger, char_ids
 
 LABELS = ("ADRESSE", "IPP", "MAIL", "NDA", "NOM", "PRENOM", "SECU", "TEL", "VILLE", "ZIP")
@@ -33,9 +34,10 @@ def gold_spans(entities, labels=LABELS) -> list[tuple[int, int, str]]:
     return out
 
 
-def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels=LABELS, size: int = 160, step: int = 128, most: int = 24000) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of notes as character ids and tags; of a mention cut by the start of a window, the rest is blanked. At most `most`."""
-    ids, tags = [], []
+def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels=LABELS, size: int = 160, step: int = 128, most: int = 40000, quiet: float = 0.4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of notes as character ids and tags; of a mention cut by the start of a window, the rest is blanked. All windows with mentions, and a share
+    `quiet` of those without, up to `most`."""
+    ids, tags, chance = [], [], np.random.default_rng(seed)
     for text, spans in notes:
         x, y = char_ids(text), np.zeros(len(text), np.int16)
         for s, e, label in spans:
@@ -50,6 +52,8 @@ def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels
             if b[0] and b[0] % 2 == 0:
                 end = int(np.argmin(b == b[0]))
                 a[:end], b[:end] = 0, 0
+            if not b.any() and chance.random() >= quiet:
+                continue
             ids.append(a)
             tags.append(b)
             if len(ids) == most:
@@ -57,20 +61,13 @@ def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels
     return np.array(ids, np.uint8).reshape(-1, size), np.array(tags, np.int16).reshape(-1, size)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 1500, steps: int = 900, hidden: int = 16, seed: int = 7) -> bytes:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 4000, steps: int = 1200, hidden: int = 16, seed: int = 7) -> bytes:
     """Weights of a tagger, trained in one task on `sample` labelled notes (those with the smallest hashes of their ids).
 
     The sample bounds the work of training; what it holds depends on the rows only. Without any labelled note the tagger finds nothing.
     """
-    spark = docs.sparkSession
-    notes = (
-        docs.where(F.col(entities).isNotNull() & (F.length(text) > 0))
-        .select(F.xxhash64(F.lit(seed), id_col).alias("h"), F.col(id_col).alias("i"), F.col(text).alias("text"), F.to_json(entities).alias("entities"))
-        .orderBy("h", "i", "text")
-        .limit(sample)
-        .select("text", "entities")
-        .coalesce(1)
-    )
+    labelled = docs.where(F.col(entities).isNotNull() & (F.length(text) > 0)).select(F.col(id_col).alias("i"), F.col(text).alias("text"), F.to_json(entities).alias("entities"))
+    notes = smallest_hashes(labelled, "i", sample, seed).select("text", "entities").coalesce(1)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json

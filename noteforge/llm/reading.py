@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteforge.functions.sampling import smallest_hashes
 from noteforge.llm.normalise import fold
 from noteforge.llm.shared import written
 
@@ -162,7 +163,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id",
 
     each = ratings.where(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("rater")).alias("rater"), "level").distinct()
     rated = each.groupBy(F.col("doc_id").cast(kind).alias("id")).agg(*(F.avg((F.col("level") == k).cast("double")).alias(f"y{k}") for k in LEVELS))
-    rated = rated.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
+    rated = smallest_hashes(rated, "id", sample, seed)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
