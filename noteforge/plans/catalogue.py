@@ -387,7 +387,26 @@ missed AS (SELECT DISTINCT doc_id, pos FROM chars c WHERE NOT EXISTS (SELECT 1 F
 residual AS (SELECT doc_id, line_no::BIGINT AS line_no, EXISTS (SELECT 1 FROM missed m WHERE m.doc_id = l.doc_id AND l.line_start <= m.pos AND m.pos < l.line_end) AS is_residual FROM lines l JOIN annotated USING (doc_id))"""
 _ALNUM = r"length(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
+_FIELD = r'"(?:[^"]|"")*"|[^";]*'
+_DECODED = rf"""notes_1 AS (SELECT row_id, raw, coalesce(json_valid(raw) AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\]|\\.)*"', '""', 'g'), '(?i)nan|inf|,\s*[\]}}]'), false) AS good FROM raw_rows WHERE feed = 'notes_jsonl'),
+notes_2 AS (SELECT row_id, CASE WHEN good THEN TRY_CAST(raw AS JSON) END AS j FROM notes_1),
+notes_3 AS (SELECT row_id, j, j ->> '$.text' AS txt, CASE WHEN json_type(j, '$.entities') = 'ARRAY' THEN json_extract(j, '$.entities[*]') END AS es FROM notes_2),
+notes AS (SELECT row_id, CASE WHEN j IS NULL THEN 'syntax' WHEN json_type(j) <> 'OBJECT' THEN 'object' WHEN coalesce(json_type(j, '$.text'), '') <> 'VARCHAR' OR txt = '' THEN 'text'
+  WHEN es IS NULL OR list_bool_or(list_transform(es, lambda e: json_type(e) <> 'OBJECT')) THEN 'entity'
+  WHEN list_bool_or(list_transform(es, lambda e: NOT coalesce(json_type(e, '$.start') IN ('UBIGINT', 'BIGINT') AND json_type(e, '$.end') IN ('UBIGINT', 'BIGINT') AND TRY_CAST(e ->> '$.start' AS BIGINT) >= 0
+    AND TRY_CAST(e ->> '$.start' AS BIGINT) < TRY_CAST(e ->> '$.end' AS BIGINT) AND TRY_CAST(e ->> '$.end' AS BIGINT) <= length(txt), false))) THEN 'offsets'
+  WHEN list_bool_or(list_transform(es, lambda e: coalesce(json_type(e, '$.label'), '') <> 'VARCHAR' OR e ->> '$.label' = '')) THEN 'label'
+  WHEN list_bool_or(list_transform(es, lambda e, i: list_bool_or(list_transform(es, lambda f, k: k > i AND TRY_CAST(e ->> '$.start' AS BIGINT) < TRY_CAST(f ->> '$.end' AS BIGINT) AND TRY_CAST(f ->> '$.start' AS BIGINT) < TRY_CAST(e ->> '$.end' AS BIGINT))))) THEN 'overlap'
+  WHEN coalesce(json_type(j, '$.context'), 'NULL') NOT IN ('NULL', 'OBJECT') OR list_bool_or(list_transform(json_extract(j, '$.context.*'), lambda v: json_type(v) <> 'ARRAY'))
+    OR list_bool_or(list_transform(flatten(list_transform(json_extract(j, '$.context.*'), lambda v: json_extract(v, '$[*]'))), lambda x: json_type(x) <> 'VARCHAR')) THEN 'context' END AS reason FROM notes_3),
+spans_1 AS (SELECT row_id, coalesce(raw, '') AS raw FROM raw_rows WHERE feed = 'spans_csv'),
+spans_2 AS (SELECT row_id, regexp_full_match(raw, '(?:{_FIELD})(?:;(?:{_FIELD}))*') AS good, list_transform(regexp_extract_all(';' || raw, ';({_FIELD})', 1), lambda f: CASE WHEN f[1] = '"' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f FROM spans_1),
+csv_spans AS (SELECT row_id, CASE WHEN NOT good THEN 'quoting' WHEN len(f) <> 5 THEN 'columns' WHEN f[2] = '' THEN 'text'
+  WHEN NOT coalesce(regexp_full_match(f[3], '[0-9]+') AND regexp_full_match(f[4], '[0-9]+') AND TRY_CAST(f[3] AS HUGEINT) < TRY_CAST(f[4] AS HUGEINT) AND TRY_CAST(f[4] AS HUGEINT) <= length(f[2]), false) THEN 'offsets' WHEN f[5] = '' THEN 'label' END AS reason, f FROM spans_2)"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"WITH {_DECODED} SELECT row_id, reason FROM notes WHERE reason IS NOT NULL UNION ALL SELECT row_id, reason FROM csv_spans WHERE reason IS NOT NULL UNION ALL SELECT row_id, 'feed' FROM raw_rows WHERE feed IS NULL OR feed NOT IN ('notes_jsonl', 'spans_csv')",
+    "p5_loaded_spans": f"WITH {_DECODED} SELECT row_id, f[1] AS note, f[2] AS text, f[3]::BIGINT AS span_start, f[4]::BIGINT AS span_end, f[5] AS label FROM csv_spans WHERE reason IS NULL",
     "line_split": f"WITH {_LINES} SELECT doc_id, line_no::BIGINT AS line_no, line_start, line_end FROM lines",
     "line_stats_by_lang": f"WITH {_LINES} SELECT lower(substr(lang, 1, 2)) AS lang, count(*) AS n_lines, sum(length(content))::BIGINT AS n_chars, max(length(content))::BIGINT AS longest FROM lines JOIN documents USING (doc_id) GROUP BY 1",
     "normal_forms": f"SELECT doc_id, md5({_normal('text')}) AS normal_md5 FROM documents",
