@@ -116,18 +116,24 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit:
     return rows.mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, ranges int, {SECTION}")
 
 
-def _emitted(table: DataFrame) -> DataFrame:
+def _by_ranges(docs: DataFrame, id_col: str, text: str, limit: int, overlap: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Sections of the texts longer than the limit: of those of one range, and of those of several, each read once."""
+    n = F.length(text)
+    return sections(docs.where((n > limit) & (n <= size)), id_col, text, limit, overlap, size), sections(docs.where((n > limit) & (n > size)), id_col, text, limit, overlap, size)
+
+
+def _emitted(single: DataFrame, ranged: DataFrame) -> DataFrame:
     """(id, piece_no, span_start, span_end, cut) of sections; numbers of pieces are summed up only over items of several ranges."""
     before = F.sum(F.size("pieces")).over(Window.partitionBy("id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))
-    several = table.where("ranges > 1").select("id", "pieces", F.coalesce(before, F.lit(0)).cast("int").alias("before"))
-    one = table.where("ranges = 1").select("id", "pieces", F.lit(0).alias("before"))
+    several = ranged.select("id", "pieces", F.coalesce(before, F.lit(0)).cast("int").alias("before"))
+    one = single.select("id", "pieces", F.lit(0).alias("before"))
     rows = one.unionByName(several).select("id", "before", F.posexplode("pieces").alias("k", "p"))
     return rows.select("id", (F.col("before") + F.col("k")).alias("piece_no"), F.col("p.s").alias("span_start"), F.col("p.e").alias("span_end"), F.col("p.cut").alias("cut"))
 
 
 def split_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
     """(id, piece_no, span_start, span_end, cut) of all texts; those within the limit are one piece and known by their length in the JVM."""
-    rows = _emitted(sections(docs.where(F.length(text) > limit), id_col, text, limit, overlap, size))
+    rows = _emitted(*_by_ranges(docs, id_col, text, limit, overlap, size))
     n = F.length(text).cast("long")
     short = docs.where(F.length(text) <= limit).select(F.col(id_col).alias("id"), F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("span_start"), n.alias("span_end"), F.lit("end").alias("cut"))
     return rows.unionByName(short).withColumnRenamed("id", id_col)
@@ -149,10 +155,10 @@ def _longest(kind: str):
 def cut_levels(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
     """(id, cut_level) of each text longer than `limit`: `line` if no line (between line feeds) is longer, else `word` if no run without space,
     tab or line feed is, else `char`. From the stitched tables of sections."""
-    table = sections(docs.where(F.length(text) > limit), id_col, text, limit, overlap, size).drop("pieces")
+    single, ranged = _by_ranges(docs, id_col, text, limit, overlap, size)
     row = F.struct("range_no", *(f"{k}_{x}" for k in ("line", "run") for x in ("cuts", "head", "most", "tail")))
-    one = table.where("ranges = 1").select("id", F.array(row).alias("r"))
-    several = table.where("ranges > 1").groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    one = single.select("id", F.array(row).alias("r"))
+    several = ranged.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("r"))
     level = F.when(_longest("line") <= limit, "line").when(_longest("run") <= limit, "word").otherwise("char")
     return one.unionByName(several).select(F.col("id").alias(id_col), level.alias("cut_level"))
 
