@@ -92,20 +92,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: s
 _LOADED: dict[int, Tagger] = {}
 
 
-def _tag(weights, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Spans of texts, a block of about 600,000 characters at a time; the weights are unpacked once a process."""
+def _tag(weights, texts: list[str], most: int = 600_000) -> list[list[tuple[int, int, str]]]:
+    """Spans of texts, blocks of up to `most` characters at a time, longer texts by parts; the weights are unpacked once a process."""
     key = weights.id if hasattr(weights, "id") else id(weights)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tagger.load(weights.value)
-    out, block, size = [], [], 0
+    tagger, out, block, size = _LOADED[key], [], [], 0
     for x in texts:
-        if size + len(x) > 600_000 and block:
-            out += _LOADED[key].tag(block)
+        if size + len(x) > most and block:
+            out += tagger.tag(block)
             block, size = [], 0
-        block.append(x)
-        size += len(x)
-    return out + (_LOADED[key].tag(block) if block else [])
+        if len(x) > most:
+            out.append(_tag_long(tagger, x, most))
+        else:
+            block.append(x)
+            size += len(x)
+    return out + (tagger.tag(block) if block else [])
+
+
+def _tag_long(tagger: Tagger, text: str, part: int, halo: int = 400) -> list[tuple[int, int, str]]:
+    """Spans of a text too long for one block: parts with a halo on either side, each giving the spans that start in its core."""
+    out = []
+    for a in range(0, len(text), part):
+        low = max(0, a - halo)
+        (found,) = tagger.tag([text[low : a + part + halo]])
+        floor = out[-1][1] if out else 0
+        out += [(s + low, e + low, x) for s, e, x in found if a <= s + low < a + part and s + low >= floor]
+    return out
 
 
 def whole_words(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
