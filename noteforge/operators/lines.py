@@ -44,31 +44,21 @@ def select_lines(lines: DataFrame, scores: DataFrame | None, threshold: float |
     return lines.join(scores.where(F.col("score") >= threshold).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
 
 
-def _runs(selected: DataFrame) -> DataFrame:
-    """Runs of adjacent lines: (doc_id, run, run_start, run_end, chunk)."""
+def _runs(selected: DataFrame, text: bool) -> DataFrame:
+    """Runs of adjacent lines: (doc_id, run, run_start, run_end), and their `chunk` of text if asked for."""
     w = Window.partitionBy("doc_id").orderBy("line_start")
     new = F.when(F.col("line_start") == F.lag("line_end").over(w), 0).otherwise(1)
-    numbered = selected.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "content"))), lambda x: x["content"]), "")
-    return numbered.groupBy("doc_id", "run").agg(F.min("line_start").alias("run_start"), F.max("line_end").alias("run_end"), chunk.alias("chunk"))
+    numbered = selected.select("doc_id", "line_start", "line_end", *(["content"] if text else [])).withColumn("new", new)
+    numbered = numbered.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "content"))), lambda x: x["content"]), "").alias("chunk")
+    return numbered.groupBy("doc_id", "run").agg(F.min("line_start").alias("run_start"), F.max("line_end").alias("run_end"), *([chunk] if text else []))
 
 
 def segments(selected: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """(doc_id, seg_no, packed_start, packed_end, document_start): where runs of adjacent lines stand in the packed text of a document."""
     if not separator:
         raise ValueError("a separator has at least one character")
-    return _segments(_line_runs(selected), separator)
-
-
-def _line_runs(selected: DataFrame) -> DataFrame:
-    """Runs without their text."""
-    w = Window.partitionBy("doc_id").orderBy("line_start")
-    new = F.when(F.col("line_start") == F.lag("line_end").over(w), 0).otherwise(1)
-    numbered = selected.select("doc_id", "line_start", "line_end").withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "run").agg(F.min("line_start").alias("run_start"), F.max("line_end").alias("run_end"))
-
-
-def _segments(runs: DataFrame, separator: str) -> DataFrame:
+    runs = _runs(selected, text=False)
     w = Window.partitionBy("doc_id").orderBy("run")
     length = F.col("run_end") - F.col("run_start")
     before = F.coalesce(F.sum(length + len(separator)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
@@ -79,7 +69,7 @@ def pack_lines(selected: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """(doc_id, packed_text, n_segments, selected_characters, model_characters): the selected lines of each document as one text, runs of adjacent lines
     apart by the separator. A document without a selected line has no row."""
     ordered = F.array_sort(F.collect_list(F.struct("run", "chunk")))
-    packed = _runs(selected).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), separator).alias("packed_text"), F.count("*").cast("int").alias("n_segments"), F.sum(F.col("run_end") - F.col("run_start")).cast("int").alias("selected_characters"))
+    packed = _runs(selected, text=True).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), separator).alias("packed_text"), F.count("*").cast("int").alias("n_segments"), F.sum(F.col("run_end") - F.col("run_start")).cast("int").alias("selected_characters"))
     return packed.withColumn("model_characters", F.length("packed_text"))
 
 
