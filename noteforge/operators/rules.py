@@ -164,12 +164,23 @@ def _context(folded: str, context) -> list[tuple[int, int, str]]:
                 terms.setdefault(label, set()).add(v)
     spans = []
     for label, values in terms.items():
-        # blanks of a term match any run of blanks; a longer term is tried before one it starts with
-        body = "|".join(r"\s+".join(map(regex.escape, v.split(" "))) for v in sorted(values, key=lambda v: (-len(v), v)))
-        spans += [(*m.span(), label) for m in regex.finditer(rf"(?<![^\W_])(?:{body})(?![^\W_])", folded)]
+        for v in values:
+            if " " in v:  # a blank of a term matches any run of blanks
+                spans += [(*m.span(), label) for m in regex.finditer(r"\s+".join(map(regex.escape, v.split(" "))), folded, overlapped=True) if _whole(folded, *m.span())]
+                continue
+            at = folded.find(v)
+            while at >= 0:
+                if _whole(folded, at, at + len(v)):
+                    spans.append((at, at + len(v), label))
+                at = folded.find(v, at + 1)
     return spans
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit stands right before or after."""
+    return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
+
+
 def trimmed(text: str, start: int, end: int, label: str) -> tuple[int, int] | None:
     """A span without blanks and punctuation at its ends: TEL keeps a leading + or (, PRENOM a final dot. None if nothing is left."""
     if not text[start:end].strip(punctuation + " \n"):
@@ -234,7 +245,10 @@ def rule_spans(text: str | None, context=None, case_preserving: bool = False) ->
 
 
 def with_rule_spans(docs: DataFrame, context: str | None = "context", case_preserving: bool = False) -> DataFrame:
-    """`docs` with `rules`: the rule spans of each document as an array."""
+    """`docs` with `rules`: the rule spans of each document as an array.
+
+    The function is called nondeterministic, as Spark would else evaluate it again for the filter it derives from an explode.
+    """
     from pyspark.sql import functions as F
 
     if context and context in docs.columns:
@@ -243,13 +257,13 @@ def with_rule_spans(docs: DataFrame, context: str | None = "context", case_prese
         def run(text: pd.Series, terms: pd.Series) -> pd.Series:
             return pd.Series([_structs(rule_spans(t, c, case_preserving)) for t, c in zip(text, terms)])
 
-        return docs.withColumn("rules", run("text", context))
+        return docs.withColumn("rules", run.asNondeterministic()("text", context))
 
     @F.pandas_udf(SPANS)
     def plain(text: pd.Series) -> pd.Series:
         return pd.Series([_structs(rule_spans(t, None, case_preserving)) for t in text])
 
-    return docs.withColumn("rules", plain("text"))
+    return docs.withColumn("rules", plain.asNondeterministic()("text"))
 
 
 def _structs(spans: list[tuple[int, int, str]]) -> list[dict]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noteforge.functions import text as tx
+from noteforge.functions.layout import spread
 from noteforge.operators import alignment, calibration, chunks, lines, metrics, rejects, rules, spans
 from noteforge.operators.router import LineRouter, RouterConfig
 from noteforge.plans.adapters import LexiconAdapter
@@ -26,6 +27,11 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that is heavy by the row."""
+    return spread(_read(spark, folder, "documents"))
+
+
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "documents").select("doc_id", "text")
 
@@ -79,7 +85,7 @@ def line_shapes(spark, folder):
 
 
 def _worded(spark, folder):
-    return lines.split_lines(_docs(spark, folder)).withColumn("normal", tx.normal_form("content")).withColumn("words", tx.words(F.col("normal")))
+    return lines.split_lines(_documents(spark, folder).select("doc_id", "text")).withColumn("normal", tx.normal_form("content")).withColumn("words", tx.words(F.col("normal")))
 
 
 def line_words(spark, folder):
@@ -242,12 +248,12 @@ def calibrated_profiles(spark, folder):
 
 
 def rule_span_counts(spark, folder):
-    docs = rules.with_rule_spans(_read(spark, folder, "documents").select("doc_id", "text", "context"))
+    docs = rules.with_rule_spans(_documents(spark, folder).select("doc_id", "text", "context"))
     return rules.exploded(docs).groupBy("label").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 def rule_spans(spark, folder):
-    return _longs(rules.exploded(rules.with_rule_spans(_read(spark, folder, "documents").select("doc_id", "text", "context"))))
+    return _longs(rules.exploded(rules.with_rule_spans(_documents(spark, folder).select("doc_id", "text", "context"))))
 
 
 def mail_values(spark, folder):
@@ -263,7 +269,7 @@ def training_chunks(spark, folder):
 
 
 def _train(spark, folder):
-    docs = _read(spark, folder, "documents").where("entities IS NOT NULL")
+    docs = _documents(spark, folder).where("entities IS NOT NULL")
     return docs.where("split = 'train'"), docs.where("split = 'validation'")
 
 
