@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteforge.functions.layout import spread
 from noteforge.llm import mixing, normalise, overlap, packing, pieces, pii, reading
 
 #: File of the tokenizer whose tokens measure texts.
@@ -17,35 +18,39 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_read(spark, folder, "documents"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _read(spark, folder, "documents").select("doc_id", "split", "text")
+    docs = _documents(spark, folder).select("doc_id", "split", "text")
     return overlap.overlap_pairs(*overlap.overlaps(docs))
 
 
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _read(spark, folder, "documents").select("doc_id", "split", "source", "text")
+    docs = _documents(spark, folder).select("doc_id", "split", "source", "text")
     return overlap.overlap_counts(docs, *overlap.overlaps(docs))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.cut_levels(_read(spark, folder, "documents"))
+    return pieces.cut_levels(_documents(spark, folder))
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.split_texts(_read(spark, folder, "documents"))
+    return pieces.split_texts(_documents(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise.find_unusual(_read(spark, folder, "documents")).select("doc_id", "field")
+    return normalise.find_unusual(_documents(spark, folder)).select("doc_id", "field")
 
 
 def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    docs = normalise.canonical_frame(_read(spark, folder, "documents").select("doc_id", "text", "context"))
+    docs = normalise.canonical_frame(_documents(spark, folder).select("doc_id", "text", "context"))
     return docs.select("doc_id", "canonical_text", F.to_json("canonical_context").alias("canonical_context"), "changed")
 
 
 def _unlabelled(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
-    docs = _read(spark, folder, "documents").select("doc_id", "text", "entities")
+    docs = _documents(spark, folder).select("doc_id", "text", "entities")
     return docs.where("entities IS NULL"), pii.fit(docs)
 
 
@@ -58,7 +63,7 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_texts(_read(spark, folder, "documents"), TOKENIZER)
+    return packing.pack_texts(_documents(spark, folder), TOKENIZER)
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,15 +71,15 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"), TOKENIZER)[0]
+    return mixing.mix(_documents(spark, folder), _read(spark, folder, "mix_targets"), TOKENIZER)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"), TOKENIZER)[1]
+    return mixing.mix(_documents(spark, folder), _read(spark, folder, "mix_targets"), TOKENIZER)[1]
 
 
 def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.reading_levels(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return reading.reading_levels(_documents(spark, folder), _read(spark, folder, "labels"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
