@@ -15,7 +15,7 @@ from noteforge.functions.layout import spread
 from noteforge.operators import alignment, calibration, chunks, lines, metrics, rejects, rules, spans
 from noteforge.operators.router import LineRouter, RouterConfig
 from noteforge.plans.adapters import LexiconAdapter
-from noteforge.plans.pipeline import Deidentifier, routed
+from noteforge.plans.pipeline import Deidentifier
 from noteforge.sources.annotations import refined_tokens
 
 BALANCED = 0.21
@@ -269,8 +269,14 @@ def training_chunks(spark, folder):
 
 
 def _train(spark, folder):
-    docs = _documents(spark, folder).where("entities IS NOT NULL")
-    return docs.where("split = 'train'"), docs.where("split = 'validation'")
+    """Annotated documents of train and of validation, labels in one spelling."""
+    named = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), spans.plain_label(e["label"]).alias("label")))
+    docs = _documents(spark, folder).where("entities IS NOT NULL").select("doc_id", "text", named.alias("entities"), "context", "split")
+    return tuple(docs.where(F.col("split") == x).drop("split") for x in ("train", "validation"))
+
+
+def _fitted(spark, folder):
+    return Deidentifier.from_preset("token").fit(*_train(spark, folder))
 
 
 def router_scores(spark, folder):
@@ -280,9 +286,7 @@ def router_scores(spark, folder):
 
 
 def predict_end_to_end(spark, folder):
-    train, validation = _train(spark, folder)
-    adapter = LexiconAdapter().fit(train)
-    found = routed(validation.select("doc_id", "text", "context"), adapter.predict, None, None)
+    found = _fitted(spark, folder).predict(_documents(spark, folder).select("doc_id", "text", "context"), "balanced")
     return _longs(found.select("doc_id", F.explode("entities").alias("e"), "selected_characters", "model_characters").select("doc_id", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"), "e.label", "selected_characters", "model_characters"))
 
 
