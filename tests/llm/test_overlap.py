@@ -95,3 +95,16 @@ def test_pruned_lists_lose_no_pair_at_the_threshold():
         left, right = dict(zip(s.tolist(), p)), dict(zip(z.tolist(), q))
         met = any(left[k] * right[k] >= 0.5 - 1e-9 for k in left.keys() & right.keys())
         assert met or cosine < 0.5
+
+
+def test_scattered_edits_of_long_texts_are_found(spark):
+    r = random.Random(11)
+    rows = [(i, None, "s", " ".join(f"w{r.randrange(5000)}" for _ in range(60)), "", 0, 0) for i in range(200)]
+    for k, (n, rate) in enumerate([(300, 0.12), (1000, 0.12), (1000, 0.15), (3000, 0.15), (3000, 0.18)]):
+        a = [f"w{r.randrange(5000)}" for _ in range(n)]
+        b = list(a)
+        for at in r.sample(range(n), int(rate * n)):
+            b[at] = f"x{r.randrange(10**9)}"
+        rows += [(1000 + k, "train", "s", " ".join(a), "", 0, 0), (2000 + k, "test", "s", " ".join(b), "", 0, 0)]
+    got = o.overlap_pairs(*o.overlaps(spark.createDataFrame(rows, SCHEMA), **SMALL)).collect()
+    assert {tuple(x) for x in got} == {(1000 + k, 2000 + k) for k in range(5)}
