@@ -14,7 +14,6 @@ from noteforge.functions import text as tx
 from noteforge.functions.layout import spread
 from noteforge.operators import alignment, calibration, chunks, lines, metrics, rejects, rules, spans
 from noteforge.operators.router import LineRouter, RouterConfig
-from noteforge.plans.adapters import LexiconAdapter
 from noteforge.plans.pipeline import Deidentifier
 from noteforge.sources.annotations import refined_tokens
 
@@ -280,9 +279,8 @@ def _fitted(spark, folder):
 
 
 def router_scores(spark, folder):
-    train, validation = (rules.with_rule_spans(d.select("doc_id", "text", "entities", "context")) for d in _train(spark, folder))
-    router = LineRouter(RouterConfig(epochs=2)).fit(train, spans.IDENTIFIERS)
-    return _longs(router.score_lines(validation))
+    router = LineRouter(RouterConfig()).fit(rules.with_rule_spans(_train(spark, folder)[0]), spans.IDENTIFIERS)
+    return _longs(router.score_lines(rules.with_rule_spans(_documents(spark, folder).select("doc_id", "text", "context"))))
 
 
 def predict_end_to_end(spark, folder):
@@ -291,10 +289,7 @@ def predict_end_to_end(spark, folder):
 
 
 def fitted_profiles(spark, folder):
-    train, validation = _train(spark, folder)
-    keep = ["doc_id", "text", "entities", "context"]
-    pipe = Deidentifier(LexiconAdapter()).fit(train.select(*keep), validation.select(*keep), router=RouterConfig(epochs=2))
-    return spark.createDataFrame(sorted(pipe.thresholds.items()), "profile string, threshold double")
+    return spark.createDataFrame(sorted(_fitted(spark, folder).thresholds.items()), "profile string, threshold double")
 
 
 _NAMES = """p5_found p5_loaded_notes p5_loaded_spans line_split line_stats_by_lang normal_forms line_shapes line_words neighbour_words char_ngrams feature_buckets position_length_buckets
