@@ -34,37 +34,31 @@ def gold_spans(entities, labels=LABELS) -> list[tuple[int, int, str]]:
     return out
 
 
-def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels=LABELS, size: int = 160, step: int = 128, most: int = 40000, quiet: float = 0.4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of notes as character ids and tags; of a mention cut by the start of a window, the rest is blanked. All windows with mentions, and a share
-    `quiet` of those without, up to `most`."""
-    ids, tags, chance = [], [], np.random.default_rng(seed)
+def training_windows(notes: list[tuple[str, list[tuple[int, int, str]]]], labels=LABELS, size: int = 160, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of notes as character ids and tags; of a mention cut by the start of a window, the rest is blanked."""
+    ids, tags = [np.zeros((0, size), np.uint8)], [np.zeros((0, size), np.int16)]
     for text, spans in notes:
-        x, y = char_ids(text), np.zeros(len(text), np.int16)
+        starts = range(0, max(1, len(text) - size + step), step)
+        x, y = np.zeros(starts[-1] + size, np.uint8), np.zeros(starts[-1] + size, np.int16)
+        x[: len(text)] = char_ids(text)
         for s, e, label in spans:
             k = 2 * labels.index(label) + 1
             y[s:e], y[s : s + 1] = k + 1, k
-        for s in range(0, len(x), step):
-            part = x[s : s + size]
-            if s and len(part) < 40:
-                continue
-            a, b = np.zeros(size, np.uint8), np.zeros(size, np.int16)
-            a[: len(part)], b[: len(part)] = part, y[s : s + size]
-            if b[0] and b[0] % 2 == 0:
-                end = int(np.argmin(b == b[0]))
-                a[:end], b[:end] = 0, 0
-            if not b.any() and chance.random() >= quiet:
-                continue
-            ids.append(a)
-            tags.append(b)
-            if len(ids) == most:
-                return np.array(ids), np.array(tags)
-    return np.array(ids, np.uint8).reshape(-1, size), np.array(tags, np.int16).reshape(-1, size)
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 4000, steps: int = 1200, hidden: int = 16, seed: int = 7) -> bytes:
+        at = np.array(starts)[:, None] + np.arange(size)
+        a, b = x[at], y[at]
+        for row in np.flatnonzero((b[:, 0] > 0) & (b[:, 0] % 2 == 0)):
+            end = int(np.argmin(np.r_[b[row], -1] == b[row, 0]))
+            a[row, :end], b[row, :end] = 0, 0
+        ids.append(a)
+        tags.append(b)
+    return np.concatenate(ids), np.concatenate(tags)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: str = "entities", sample: int = 4000, steps: int = 800, hidden: int = 16, seed: int = 7) -> bytes:
     """Weights of a tagger, trained in one task on `sample` labelled notes (those with the smallest hashes of their ids).
 
-    The sample bounds the work of training; what it holds depends on the rows only. Without any labelled note the tagger finds nothing.
+    `sample` and `steps` bound the work of training; what the sample holds depends on the rows only, and training draws from all windows of its
+    notes, evenly. Without any labelled note the tagger finds nothing.
     """
     labelled = docs.where(F.col(entities).isNotNull() & (F.length(text) > 0)).select(F.col(id_col).alias("i"), F.col(text).alias("text"), F.to_json(entities).alias("entities"))
     notes = smallest_hashes(labelled, "i", sample, seed).select("text", "entities").coalesce(1)
@@ -76,7 +70,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: s
         ids, tags = training_windows(rows)
         tagger = Tagger(list(LABELS), hidden, seed)
         if len(ids):
-            tagger.fit(ids, tags, steps, min(128, len(ids)), seed=seed)
+            tagger.fit(ids, tags, steps, min(96, len(ids)), seed=seed)
         else:
             tagger.p["out"][:], tagger.p["bias"][1:] = 0, -50
         yield pd.DataFrame({"weights": [tagger.dump()]})
@@ -92,34 +86,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", entities: s
 _LOADED: dict[int, Tagger] = {}
 
 
-def _tag(weights, texts: list[str], most: int = 600_000) -> list[list[tuple[int, int, str]]]:
-    """Spans of texts, blocks of up to `most` characters at a time, longer texts by parts; the weights are unpacked once a process."""
+def _tag(weights, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """Spans of texts; the weights are unpacked once a process."""
     key = weights.id if hasattr(weights, "id") else id(weights)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tagger.load(weights.value)
-    tagger, out, block, size = _LOADED[key], [], [], 0
-    for x in texts:
-        if size + len(x) > most and block:
-            out += tagger.tag(block)
-            block, size = [], 0
-        if len(x) > most:
-            out.append(_tag_long(tagger, x, most))
-        else:
-            block.append(x)
-            size += len(x)
-    return out + (tagger.tag(block) if block else [])
-
-
-def _tag_long(tagger: Tagger, text: str, part: int, halo: int = 400) -> list[tuple[int, int, str]]:
-    """Spans of a text too long for one block: parts with a halo on either side, each giving the spans that start in its core."""
-    out = []
-    for a in range(0, len(text), part):
-        low = max(0, a - halo)
-        (found,) = tagger.tag([text[low : a + part + halo]])
-        floor = out[-1][1] if out else 0
-        out += [(s + low, e + low, x) for s, e, x in found if a <= s + low < a + part and s + low >= floor]
-    return out
+    return _LOADED[key].tag(texts)
 
 
 def whole_words(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

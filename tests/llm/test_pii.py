@@ -21,18 +21,34 @@ def _brute_path(m, e):
 
 
 def test_pruned_decoding_equals_the_whole_search():
-    r = np.random.default_rng(0)
-    for seed in range(150):
+    r, n_open, n_all = np.random.default_rng(0), 0, 0
+    for seed in range(300):
         m = Tagger(["A", "B", "C"], 4, seed)
-        for k in ("leave", "enter", "go_in", "stay_in", "start"):
-            m.p[k] = r.normal(size=m.p[k].shape).astype(np.float32) * 1.5
-        limits = np.cumsum([0, *r.integers(0, 12, 6)])
+        for k in ("trans", "start"):
+            m.p[k] = r.normal(size=m.p[k].shape).astype(np.float32) * r.choice([0.3, 1.5])
+        limits = np.cumsum([0, *r.integers(0, 40, 6)])
         e = r.normal(size=(7, limits[-1])).astype(np.float32) * 3
         e[0] += r.choice([0, 3, 6])
-        got = m.decode(e, limits)
+        first, got = np.zeros(limits[-1], bool), np.zeros(limits[-1], np.int16)
+        first[[x for x in limits[:-1] if x < limits[-1]]] = True
+        a, b = m.open_stretches(*m.gains(e, first), first)
+        n_open += (b - a).sum()
+        n_all += limits[-1]
+        m._search(e, a, a, b, first, got, cells=int(r.choice([1, 30, 1000])))
         for a, b in zip(limits[:-1], limits[1:]):
             if a < b:
                 assert got[a:b].tolist() == _brute_path(m, e[:, a:b])
+    assert 0.1 * n_all < n_open < 0.9 * n_all
+
+
+def test_a_text_longer_than_a_block_is_tagged_as_in_one():
+    m = Tagger(["A", "B"], 6, 2)
+    m.p["bias"][0] = -0.3
+    text = "".join(chr(97 + k) for k in np.random.default_rng(3).integers(0, 26, 9000)) + " Jean et Marie."
+    whole = m.tag([text], window=64, halo=8)
+    assert len(whole[0]) > 50
+    assert m.tag([text, "", "abc"], window=64, halo=8, block=1000)[:1] == whole
+    assert m.tag([text], window=64, halo=8, block=1000) == whole
 
 
 def test_gradients_equal_differences():
@@ -42,7 +58,7 @@ def test_gradients_equal_differences():
     ids = r.integers(0, 50, (6, 4)).astype(np.uint8)
     tags = np.array([[0, 1, 2, 2], [1, 2, 2, 0], [2, 0, 3, 0], [0, 1, 4, 1], [3, 2, 0, 2], [4, 0, 1, 2]])
     _, g = m._gradient(ids, tags)
-    for k in ("leave", "enter", "go_in", "stay_in", "out", "bias", "rec", "start"):
+    for k in ("trans", "out", "bias", "rec", "start"):
         at = (0,) * m.p[k].ndim
         old = m.p[k][at]
         m.p[k][at] = old + 1e-3
