@@ -114,16 +114,3 @@ def test_ids_cover_all_characters_one_to_one():
     text = "Éa１​́🌿\ud800"
     assert len(char_ids(text)) == len(text)
     assert char_ids("ÉＥE").tolist() == [char_ids("E")[0]] * 3
-
-
-def test_long_texts_are_read_by_parts_and_whole():
-    class Sent:
-        id, value = 77, Tagger(["A"], 6, 2).dump()
-
-    texts = ["Jean et Marie habitent ici. " * n for n in (3, 90, 5)]
-    pii._LOADED.clear()
-    whole, parts = pii._tag(Sent, texts), pii._tag(Sent, texts, most=700)
-    assert whole[0] == parts[0] and whole[2] == parts[2]
-    assert len(set(whole[1]) & set(parts[1])) >= 0.97 * len(whole[1])
-    assert all(a[1] <= b[0] for a, b in zip(parts[1], parts[1][1:]))
-    pii._LOADED.clear()
