@@ -2,20 +2,22 @@
 
 A text is a vector over its phrases. Its words are folded (no case, accents, punctuation, spacing or look-alike characters) and cut into phrases of
 about `length` words, between those neighbours whose common hash is divisible by `length`: where a phrase ends depends on the words there only, so an edit changes the
-phrase it is in, or two, and no others. A phrase weighs the root of log(1 + N / n), n counting the texts of all splits that hold it or another phrase of its
-cell in a table of fixed size; the table is filled from all documents, texts with the same words counting once for each side, as many copies of one text would
-else make its own phrases weigh little against an edit. Vectors have length 1.
+phrase it is in, or two, and no others. A phrase weighs the root of log(1 + N / n), where n of all N texts hold it; both are counted over all
+documents, texts with the same words counting once for each side, as many copies of one text would else make its own phrases weigh little against an
+edit. Vectors have length 1.
 
 Inverted lists hold, of each vector, only what a pair at the threshold must share:
-- A phrase that no text of the other side holds adds nothing to any product. Which phrases the other side holds is known from a bit table of
-  fixed size (a shared bit keeps a phrase too many, never one too few). A vector whose other phrases' norm is below the threshold has no
-  partner at all and is left out.
-- The rest is put in order of weight, largest first (ties by hash), with the norm that remains from each place on. Only places whose
-  remaining norm reaches the threshold are indexed: a pair that shares none of them has a smaller product.
-- The first shared phrase of a pair at places i and j bounds its product by the product of the two remaining norms. Entries meet only if that
-  reaches the threshold, and if the numbers of words admit enough common words.
-
-The exact product of each pair of candidates is then taken from its two lists of phrases. Only pairs that reach the threshold have their texts read, for an
+- A phrase that no text of the other side holds adds nothing to any product, and a vector whose other phrases' norm is below the threshold has no partner.
+- Of each list the largest weights are known, by side and by class of size: texts whose numbers of words admit enough common words are in the same class or in
+  neighbouring ones. The largest weight a partner can have for a phrase bounds what the phrase can add to a product.
+- Phrases are put in one order for all texts, rarest first. From each place on, both the sum of weights times largest weights of partners and the norm bound
+  what the rest of the vector can add. Only places where both reach the threshold are indexed: a pair that shares none of them has a smaller product.
+- Entries meet only if the product of the norms that remain at both reaches the threshold, and if the numbers of words admit enough common words. Lists of frequent
+  phrases are salted: one side's entries are dealt out over parts, the other's are copied to each, so that no task gets a whole long list.
+- An entry brings along the numbers of its text's words by `BUCKETS` buckets of their hashes. The sum of the smaller numbers is at least the number of common
+  words, so pairs are dropped where it is too small for the exact check, before anything else is read of them.
+
+The exact product of each pair that is left is taken from its two vectors. Only pairs that reach the threshold have their texts read, for an
 exact check of common words and of their order. Texts with the same words form a class, which takes part once for each side, however many copies it has.
 
 Nulls: a null text, or one without words, has no partner; a null split counts as neither side. Copies within a class are all reported.
@@ -24,25 +26,26 @@ Nulls: a null text, or one without words, has no partner; a null split counts as
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noteforge.llm.normalise import fold
-from noteforge.llm.shared import written
+from noteforge.llm.shared import discard, written
 
 #: At COMMON with scattered edits the cosine is 0.25 on average (README: what falls below the threshold). What lies above is left to the exact check.
 LENGTH, THRESHOLD = 6, 0.2
 #: Least share of common words, of the longer text's, and of those in the same order.
 COMMON, ORDERED = 0.79, 0.65
-#: Sizes of the tables: counts and, for each side, bits; they are sent around in so many slices.
-CELLS, BITS, SLICES = 1 << 20, 1 << 26, 16
+#: Buckets of words by hash; documents of a list that one task pairs with all entries of the other side.
+BUCKETS, LIST = 128, 4096
 
 _WORD = re.compile(r"[^\W_]+")
 _HASHES: dict[str, int] = {}
@@ -85,70 +88,16 @@ def phrases_of(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.unique(_mixed(np.add.reduceat(_mixed(hashes) * _PLACES[place % len(_PLACES)], start)))
 
 
-def _bit(s: np.ndarray, bits: int) -> np.ndarray:
-    return (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+def bag_of(hashes: np.ndarray) -> bytes:
+    """Numbers of words by bucket of their hash, one byte each; 255 stands for that many or more."""
+    return np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def _cell(s: np.ndarray, cells: int) -> np.ndarray:
-    return (s & np.uint64(cells - 1)).astype(np.int64)
-
-
-def _flat(column) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *column]).view(np.uint64)
-
-
-def tables(rows: DataFrame, cells: int = CELLS, bits: int = BITS) -> dict:
-    """The table of counts and the bit tables of sides 0 and 1, over all rows (side, s array<bigint>); their size doesn't depend on the data.
-
-    A partition fills its own tables; slices of them are merged by slice, so that no task holds more than a slice of each partition.
-    """
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, packed, docs = np.zeros(cells, np.uint32), np.zeros((2, bits // 8), np.uint8), 0
-        for b in batches:
-            docs += len(b)
-            counts += np.bincount(_cell(_flat(b["s"]), cells), minlength=cells).astype(np.uint32)
-            for side in (0, 1):
-                at = _bit(_flat(b["s"][b["side"] == side]), bits)
-                np.bitwise_or.at(packed[side], at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
-        for k in range(SLICES):
-            c, p = np.array_split(counts, SLICES)[k], np.array_split(packed, SLICES, axis=1)[k]
-            yield pd.DataFrame({"slice": [k], "counts": [zlib.compress(c.tobytes(), 1)], "bits": [zlib.compress(np.ascontiguousarray(p).tobytes(), 1)], "docs": [docs if k == 0 else 0]})
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        counts, packed = 0, np.uint8(0)
-        for c, p in zip(rows["counts"], rows["bits"]):
-            counts = counts + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
-            packed = packed | np.frombuffer(zlib.decompress(p), np.uint8)
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], "bits": [packed.tobytes()], "docs": [rows["docs"].sum()]})
-
-    schema = "slice int, counts binary, bits binary, docs bigint"
-    got = sorted(rows.select("side", "s").mapInPandas(fill, schema).groupBy("slice").applyInPandas(merge, schema).collect(), key=lambda r: r["slice"])
-    if not got:
-        return {"counts": np.zeros(cells, np.uint32), "bits": np.zeros((2, bits // 8), np.uint8), "docs": 0}
-    return {"counts": np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in got]), "bits": np.concatenate([np.frombuffer(r["bits"], np.uint8).reshape(2, -1) for r in got], axis=1), "docs": sum(r["docs"] for r in got)}
-
-
-def weights_of(s: np.ndarray, t: dict) -> np.ndarray:
-    """Weights of phrases, before vectors are brought to length 1."""
-    return np.sqrt(np.log1p(t["docs"] / np.maximum(t["counts"][_cell(s, len(t["counts"]))], 1)))
-
-
-def indexed(s: np.ndarray, t: dict, side: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a vector of `side`: the phrases the other side may hold, largest weight first, their weights in the vector of length 1, and the norms that remain
-    from each place to be indexed on. All empty if it can have no partner."""
-    w = weights_of(s, t)
-    w /= np.sqrt((w * w).sum())
-    other = t["bits"][1 - side]
-    at = _bit(s, 8 * len(other))
-    there = (other[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    s, w = s[there], w[there]
-    if not len(s) or (w * w).sum() < threshold * threshold - 1e-9:
-        return s[:0], w[:0], w[:0]
-    order = np.lexsort((s, -w))
-    s, w = s[order], w[order]
-    rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-    return s, w, rest[: int((rest >= threshold - 1e-9).sum())]
+def may_share(a: list[bytes], b: list[bytes], needed: np.ndarray) -> np.ndarray:
+    """Of pairs of bags, whether as many words as needed may be common: never false where they are. A bucket full on both sides tells nothing."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, BUCKETS) for z in (a, b))
+    least = np.minimum(x, y)
+    return (least.sum(1, dtype=np.int64) >= needed) | (least == 255).any(1)
 
 
 def ordered_words(a: list[str], b: list[str]) -> int:
@@ -182,10 +131,64 @@ def split_side(split: Column) -> Column:
     return F.when(s == "train", 1).when(s.isin("validation", "test"), 0)
 
 
-def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side: Column | None = None, threshold: float = THRESHOLD, common: float = COMMON, ordered: float = ORDERED, cells: int = CELLS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def weighted(heads: DataFrame, threshold: float, common: float) -> DataFrame:
+    """(side, node, id, words, bag, cls, df, s, w) of the texts in `heads` that may have a partner: phrases that the other side holds, rarest first, the number of
+    texts with each, and their weights in the vector of length 1. `cls`: the class of size; those of two texts with enough common words differ by 1 at most."""
+    total = float(heads.count())
+    mass = lambda df: F.log1p(F.lit(total) / df)
+    postings = heads.select("side", "node", F.explode("s").alias("s"))
+    stats = postings.groupBy("s").agg(F.count("*").cast("int").alias("df"), (F.max(F.col("side") == 0) & F.max(F.col("side") == 1)).alias("both")).where("df > 1")
+    known = postings.where("side IS NOT NULL").join(stats, "s")
+    # phrases of one text only are not sent around: each adds the same to the norm
+    vectors = known.groupBy("side", "node").agg(F.sum(mass(F.col("df"))).alias("m"), F.count("*").alias("n"), F.collect_list(F.when(F.col("both"), F.struct("df", "s"))).alias("z"))
+    own = heads.where("side IS NOT NULL").select("side", "node", "id", "words", "bag", F.size("s").alias("size"))
+    norm = F.sqrt(F.col("m") + (F.col("size") - F.col("n")) * mass(F.lit(1.0)))
+    made = vectors.join(own, ["side", "node"]).withColumn("norm", norm).withColumn("z", F.array_sort("z"))
+    made = made.withColumn("w", F.transform("z", lambda x: (F.sqrt(mass(x["df"])) / F.col("norm")).cast("float")))
+    reach = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    cls = F.floor(F.log(F.col("words").cast("double")) / F.lit(1e-9 - np.log(common))).cast("int")
+    return made.where(reach >= threshold * threshold - 1e-6).select("side", "node", "id", "words", "bag", cls.alias("cls"), F.col("z.df").alias("df"), F.col("z.s").alias("s"), "w")
+
+
+def indexed(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(side, node, words, bag, z array<struct<s, df, rest>>): what of each vector is indexed, with the norm that remains from each place on."""
+    z = F.explode(F.arrays_zip("df", "s", "w"))
+    entries = vectors.select("side", "node", "words", "cls", z.alias("z")).select("side", "node", "words", "cls", "z.df", "z.s", F.col("z.w").cast("double").alias("w"))
+    largest = entries.groupBy("s", "side", "cls").agg(F.max("w").alias("b"))
+    # what the other side's texts of this class or a neighbouring one can weigh at most; without any, the phrase adds nothing
+    partners = largest.select("s", (1 - F.col("side")).alias("side"), F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))).alias("cls"), "b").groupBy("s", "side", "cls").agg(F.max("b").alias("b"))
+    w = Window.partitionBy("side", "node").orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    bounded = entries.join(partners, ["s", "side", "cls"]).select("side", "node", "words", "s", "df", F.sum(F.col("w") * F.col("w")).over(w).alias("m"), F.sum(F.col("w") * F.col("b")).over(w).alias("most"))
+    kept = bounded.where((F.col("m") >= threshold * threshold - 1e-6) & (F.col("most") >= threshold - 1e-6))
+    made = kept.groupBy("side", "node").agg(F.first("words").alias("words"), F.collect_list(F.struct("s", "df", F.sqrt("m").cast("float").alias("rest"))).alias("z"))
+    return made.join(vectors.select("side", "node", "bag"), ["side", "node"])
+
+
+def candidates(index: DataFrame, threshold: float, common: float, most: int = LIST) -> DataFrame:
+    """(node_0, node_1) of entries that meet in a list and may share enough words. A list of n texts is dealt out over 1 + n / `most` parts."""
+
+    def lists(k: int) -> DataFrame:
+        parts = 1 + F.floor(F.col("df") / F.lit(most)).cast("int")
+        salt = F.explode(F.sequence(F.lit(0), parts - 1)) if k == 0 else F.pmod(F.xxhash64("node"), parts).cast("int")
+        x = index.where(F.col("side") == k).select("node", "words", "bag", F.explode("z").alias("z")).select("node", "words", "bag", "z.*")
+        return x.select("s", salt.alias("salt"), *(F.col(c).alias(f"{c}_{k}") for c in ("node", "words", "rest", "bag")))
+
+    a, b = F.col("words_0"), F.col("words_1")
+    meets = (F.col("rest_0") * F.col("rest_1") >= threshold - 1e-5) & (a >= b * common) & (b >= a * common) & (F.col("node_0") != F.col("node_1"))
+    met = lists(0).join(lists(1), ["s", "salt"]).where(meets).select("node_0", "node_1", (F.greatest(a, b) * common).alias("needed"), "bag_0", "bag_1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                good = may_share(b["bag_0"].to_pylist(), b["bag_1"].to_pylist(), b["needed"].to_numpy())
+                yield b.select(["node_0", "node_1"]).filter(pa.array(good))
+
+    return met.mapInArrow(run, "node_0 bigint, node_1 bigint").distinct()
+
+
+def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side: Column | None = None, threshold: float = THRESHOLD, common: float = COMMON, ordered: float = ORDERED) -> tuple[DataFrame, DataFrame]:
     """(members, links). members (id, side, node): the class of each row that has words. links (node_0, node_1, cosine): classes of side 0 and of side 1
     whose texts are the same (cosine 1) or nearly. Every pair of a member of node_0 on side 0 and one of node_1 on side 1 is a case."""
-    spark = docs.sparkSession
     side = split_side(F.col("split")) if side is None else side
     rows = docs.select(F.col(id_col).alias("id"), side.alias("side"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[id_col]
@@ -196,54 +199,39 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
             for i, x, text in zip(b["id"], b["side"], b["text"]):
                 h = hashes_of(words_of(text))
                 if len(h):
-                    out.append((i, None if pd.isna(x) else int(x), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), len(h), phrases_of(h).view(np.int64)))
-            made = pd.DataFrame(out, columns=["id", "side", "node", "words", "s"])
+                    out.append((i, None if pd.isna(x) else int(x), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), len(h), bag_of(h), phrases_of(h).view(np.int64)))
+            made = pd.DataFrame(out, columns=["id", "side", "node", "words", "bag", "s"])
             yield made.assign(side=made["side"].astype("Int32"))
 
-    # texts are read and cut into words once; what follows works on numbers
-    table = written(rows.where(F.col("text").isNotNull()).mapInPandas(vectors, f"id {kind}, side int, node bigint, words int, s array<bigint>"), "overlap-phrases")
-    members = table.where("side IS NOT NULL").select("id", "side", "node")
+    # texts are read and cut into words once; what follows works on numbers. Tables are dropped when nothing reads them any more
+    table = written(rows.where(F.col("text").isNotNull()).mapInPandas(vectors, f"id {kind}, side int, node bigint, words int, bag binary, s array<bigint>"), "overlap-phrases")
+    members = written(table.where("side IS NOT NULL").select("id", "side", "node"), "overlap-members")
     # one member of each class stands for it: in the counts, in the lists, and in the check
-    heads = written(table.groupBy("side", "node").agg(F.min_by(F.struct("id", "words", "s"), "id").alias("h")).select("side", "node", "h.*"), "overlap-classes")
-    t = tables(heads, cells, bits)
-    sent = spark.sparkContext.broadcast(t)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for x, node, n, s in zip(b["side"], b["node"], b["words"], b["s"]):
-                s, w, rest = indexed(s.view(np.uint64), sent.value, int(x), threshold)
-                if len(s):
-                    out.append((int(x), node, n, s.view(np.int64), w.astype(np.float32), rest.astype(np.float32)))
-            yield pd.DataFrame(out, columns=["side", "node", "words", "s", "w", "rest"])
-
-    entries = heads.where("side IS NOT NULL").select("side", "node", "words", "s").mapInPandas(index, "side int, node bigint, words int, s array<bigint>, w array<float>, rest array<float>")
-
-    def lists(k: int) -> DataFrame:
-        x = entries.where(F.col("side") == k).select("node", "words", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("rest")).alias("s"), "rest")).alias("z"))
-        return x.select(F.col("z.s").alias("s"), F.col("node").alias(f"node_{k}"), F.col("words").alias(f"words_{k}"), F.col("z.rest").alias(f"rest_{k}"))
-
-    meets = (F.col("rest_0") * F.col("rest_1") >= threshold - 1e-5) & (F.col("words_0") >= F.col("words_1") * common) & (F.col("words_1") >= F.col("words_0") * common) & (F.col("node_0") != F.col("node_1"))
-    pairs = written(lists(0).join(lists(1), "s").where(meets).select("node_0", "node_1").distinct(), "overlap-pairs")
-
-    # exact products, from the lists of one member of each class
-    with_0 = pairs.join(heads.where("side = 0").select(F.col("node").alias("node_0"), F.col("id").alias("id_0"), F.col("s").alias("s_0")), "node_0")
-    with_both = with_0.join(heads.where("side = 1").select(F.col("node").alias("node_1"), F.col("id").alias("id_1"), F.col("s").alias("s_1")), "node_1")
+    heads = written(table.groupBy("side", "node").agg(F.min_by(F.struct("id", "words", "bag", "s"), "id").alias("h")).select("side", "node", "h.*"), "overlap-classes")
+    discard(table)
+    weights = written(weighted(heads, threshold, common), "overlap-weights")
+    discard(heads)
+    index = written(indexed(weights, threshold), "overlap-index")
+    pairs = written(candidates(index, threshold, common), "overlap-pairs")
+    discard(index)
+
+    # exact products, from the vectors of both
+    vector = weights.select("side", "node", "id", "s", "w")
+    with_0 = pairs.join(vector.where("side = 0").select(F.col("node").alias("node_0"), F.col("id").alias("id_0"), F.col("s").alias("s_0"), F.col("w").alias("w_0")), "node_0")
+    with_both = with_0.join(vector.where("side = 1").select(F.col("node").alias("node_1"), F.col("id").alias("id_1"), F.col("s").alias("s_1"), F.col("w").alias("w_1")), "node_1")
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = sent.value
         for b in batches:
-            out = []
-            for p, q, i, j, x, y in b[["node_0", "node_1", "id_0", "id_1", "s_0", "s_1"]].itertuples(index=False):
-                x, y = x.view(np.uint64), y.view(np.uint64)
-                shared = np.intersect1d(x, y, assume_unique=True)
-                u, v, z = weights_of(x, t), weights_of(y, t), weights_of(shared, t)
-                cosine = float((z * z).sum() / np.sqrt((u * u).sum() * (v * v).sum()))
-                if cosine >= threshold:
-                    out.append((p, q, i, j, cosine))
-            yield pd.DataFrame(out, columns=["node_0", "node_1", "id_0", "id_1", "cosine"])
+            cosines = []
+            for x, u, y, v in zip(b["s_0"], b["w_0"], b["s_1"], b["w_1"]):
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                cosines.append(float(np.dot(u[i].astype(np.float64), v[j].astype(np.float64))))
+            made = b[["node_0", "node_1", "id_0", "id_1"]].assign(cosine=cosines)
+            yield made[made["cosine"] >= threshold - 1e-6]
 
     close = written(with_both.mapInPandas(multiply, f"node_0 bigint, node_1 bigint, id_0 {kind}, id_1 {kind}, cosine double"), "overlap-close")
+    discard(weights)
+    discard(pairs)
 
     # the exact check, on the texts of what is left, brought together by pair
     ends = close.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("id_0").alias("id")), F.struct(F.lit(1).alias("side"), F.col("id_1").alias("id")))).alias("e"), "node_0", "node_1", "cosine").select("e.*", "node_0", "node_1", "cosine")
@@ -257,6 +245,7 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
     near = both.mapInPandas(verify, "node_0 bigint, node_1 bigint, cosine double")
     same = members.groupBy("node").agg(F.count_if(F.col("side") == 0).alias("n_0"), F.count_if(F.col("side") == 1).alias("n_1")).where("n_0 > 0 AND n_1 > 0")
     links = written(near.unionByName(same.select(F.col("node").alias("node_0"), F.col("node").alias("node_1"), F.lit(1.0).alias("cosine"))), "overlap-links")
+    discard(close)
     return members, links
 
 

@@ -9,20 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set for the session."""
+    """The folder named by spark.checkpoint.dir. Where it is unset and all work is done on this machine, as in tests, a temporary one is set for the
+    session; on a cluster that is an error, as executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="noteforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Spark's setting to drop an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder as a table and read again: it cuts the lineage, and is there though executors are lost."""
+    """`df` written to the shared folder as a table and read again: it cuts the lineage, and is there though executors are lost.
+
+    The shuffle files of the write aren't needed after it and go at once; the table goes by `discard` or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    try:
+        spark.conf.set(_CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by `written` that nothing reads any more."""
+    files, where = _files(table.sparkSession, table._written_to)
+    files.delete(where, True)
 
 
 _TOKENIZERS: dict[str, object] = {}

@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from noteforge.llm import overlap as o
 
 SCHEMA = "doc_id bigint, split string, source string, text string, id string, side int, node bigint"
-SMALL = {"cells": 1 << 12, "bits": 1 << 14}
 
 
 def _brute(rows):
@@ -33,7 +32,7 @@ def _rows(r):
 def test_pairs_at_the_threshold_equal_brute_force_with_ties_copies_and_clashing_columns(spark):
     rows = _rows(random.Random(3))
     df = spark.createDataFrame([(i, s, None, t, "z", 9, 7) for i, s, t in rows], SCHEMA)
-    members, links = o.overlaps(df, threshold=0.3, **SMALL)
+    members, links = o.overlaps(df, threshold=0.3)
     got = [tuple(r) for r in o.overlap_pairs(members, links).collect()]
     assert len(got) == len(set(got))
     want, texts = _brute(rows), {i: o.phrases_of(o.hashes_of(o.words_of(t))) for i, _, t in rows}
@@ -49,16 +48,16 @@ def test_pairs_at_the_threshold_equal_brute_force_with_ties_copies_and_clashing_
 def test_nulls_empty_texts_and_empty_tables(spark):
     rows = [(1, "train", None, None, "", 0, 0), (2, "test", None, "", "", 0, 0), (3, "test", None, "...", "", 0, 0), (4, "train", None, "...", "", 0, 0), (5, None, "s", "a b c d e f", "", 0, 0), (6, "test", "s", "A b, c d é f", "", 0, 0), (7, "train", "s", "a b c d é f", "", 0, 0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    members, links = o.overlaps(df, **SMALL)
+    members, links = o.overlaps(df)
     assert [tuple(r) for r in o.overlap_pairs(members, links).collect()] == [(6, 7)]
-    members, links = o.overlaps(df.limit(0), **SMALL)
+    members, links = o.overlaps(df.limit(0))
     assert o.overlap_pairs(members, links).count() == 0
     assert o.overlap_counts(df.limit(0), members, links).count() == 0
 
 
 def test_hot_class_of_copies_takes_part_once(spark):
     rows = [(i, "train" if i % 3 else "test", "s", "le meme texte de dix mots se trouve ici toujours", "", 0, 0) for i in range(90)]
-    members, links = o.overlaps(spark.createDataFrame(rows, SCHEMA), **SMALL)
+    members, links = o.overlaps(spark.createDataFrame(rows, SCHEMA))
     assert links.count() == 1
     assert o.overlap_pairs(members, links).count() == 30 * 60
 
@@ -82,19 +81,46 @@ def test_an_edit_changes_few_phrases():
     assert len(a - b) <= 3 and len(a) > 60
 
 
-def test_pruned_lists_lose_no_pair_at_the_threshold():
-    r = np.random.default_rng(5)
-    t = {"counts": r.integers(1, 50, 1 << 10).astype(np.uint32), "bits": np.full((2, 1 << 10), 255, np.uint8), "docs": 100}
-    for _ in range(200):
-        pool = r.integers(0, 1 << 63, 60, dtype=np.uint64)
-        x, y = (np.unique(r.choice(pool, 30)) for _ in range(2))
-        w, v = o.weights_of(x, t), o.weights_of(y, t)
-        shared = o.weights_of(np.intersect1d(x, y), t)
-        cosine = (shared**2).sum() / np.sqrt((w**2).sum() * (v**2).sum())
-        (s, _, p), (z, _, q) = o.indexed(x, t, 0, 0.5), o.indexed(y, t, 1, 0.5)
-        left, right = dict(zip(s.tolist(), p)), dict(zip(z.tolist(), q))
-        met = any(left[k] * right[k] >= 0.5 - 1e-9 for k in left.keys() & right.keys())
-        assert met or cosine < 0.5
+def test_pruned_lists_lose_no_pair_at_the_threshold(spark):
+    r, t = np.random.default_rng(5), 0.3
+    pools = [r.integers(-(1 << 62), 1 << 62, n) for n in (8, 25, 60, 200)]
+    rows = []
+    for k in range(160):
+        s = np.unique(np.concatenate([r.choice(p, r.integers(1, 12)) for p in pools]))
+        words = int(r.integers(20, 90))
+        rows.append((k % 2 if k % 11 else None, k, k, words, bytearray(o.bag_of(r.integers(0, 1 << 60, words).astype(np.uint64))), [int(x) for x in s]))
+    heads = spark.createDataFrame(rows, "side int, node bigint, id bigint, words int, bag binary, s array<bigint>")
+    n = Counter(x for row in rows for x in row[5])
+    mass = lambda s: sum(np.log1p(len(rows) / n[x]) for x in s)
+    cosine = lambda a, b: mass(set(a) & set(b)) / np.sqrt(mass(a) * mass(b))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == 0 and b[0] == 1 and min(a[3], b[3]) >= o.COMMON * max(a[3], b[3]) and cosine(a[5], b[5]) >= t}
+    vectors = o.weighted(heads, t, o.COMMON)
+    w = {(v["side"], v["node"]): dict(zip(v["s"], v["w"])) for v in vectors.collect()}
+    for a, b in want:
+        assert abs(sum(w[0, a][x] * w[1, b][x] for x in w[0, a].keys() & w[1, b].keys()) - cosine(rows[a][5], rows[b][5])) < 1e-5
+    index = o.indexed(vectors, t)
+    met = {s: {0: [], 1: []} for s in n}
+    for v in index.collect():
+        for x in v["z"]:
+            met[x["s"]][v["side"]].append(v["node"])
+    pairs = {(a, b) for m in met.values() for a in m[0] for b in m[1]}
+    assert len(want) > 20 and want <= pairs
+    assert sum(len(v["z"]) for v in index.collect()) < 0.8 * sum(map(len, w.values()))
+
+
+def test_bags_never_deny_common_words_and_salted_lists_meet_as_whole_ones(spark):
+    r = np.random.default_rng(2)
+    for size in (30, 3000, 90_000):
+        for _ in range(20):
+            x, y = (r.integers(0, 400, size).astype(np.uint64) for _ in range(2))
+            common = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+            assert o.may_share([o.bag_of(x)], [o.bag_of(y)], np.array([common])).all()
+    assert not o.may_share([o.bag_of(np.arange(100, dtype=np.uint64))], [o.bag_of(np.arange(100, 120, dtype=np.uint64))], np.array([50])).any()
+    bag = o.bag_of(np.arange(50, dtype=np.uint64))
+    rows = [(k % 2, k, 50, bytearray(bag), [(7, 300, 0.9), (k // 2, 2, 0.8)]) for k in range(300)]
+    index = spark.createDataFrame(rows, "side int, node bigint, words int, bag binary, z array<struct<s:bigint,df:int,rest:float>>")
+    whole, salted = (o.candidates(index, 0.2, o.COMMON, most) for most in (1000, 16))
+    assert whole.count() == salted.count() == 150 * 150
 
 
 def test_scattered_edits_of_long_texts_are_found(spark):
@@ -106,5 +132,5 @@ def test_scattered_edits_of_long_texts_are_found(spark):
         for at in r.sample(range(n), int(rate * n)):
             b[at] = f"x{r.randrange(10**9)}"
         rows += [(1000 + k, "train", "s", " ".join(a), "", 0, 0), (2000 + k, "test", "s", " ".join(b), "", 0, 0)]
-    got = o.overlap_pairs(*o.overlaps(spark.createDataFrame(rows, SCHEMA), **SMALL)).collect()
+    got = o.overlap_pairs(*o.overlaps(spark.createDataFrame(rows, SCHEMA))).collect()
     assert {tuple(x) for x in got} == {(1000 + k, 2000 + k) for k in range(5)}
