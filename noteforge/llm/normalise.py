@@ -15,6 +15,7 @@ Nulls stay null, empty texts empty; equal rows give equal results.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -125,26 +126,45 @@ def canonical(text: str | None) -> str | None:
 def fold(text: str | None) -> str:
     """The canonical form without letter case, accents and ligatures, for comparison; null as empty.
 
-    Text of Latin-1 characters that fold one to one takes one pass over its bytes; the result is the same as that of the long way.
+    Latin-1 characters that fold one to one take one pass over their bytes. Only segments between white space that hold others go the long way, those near each
+    other together; the result is the same as that of the long way over the whole.
     """
     if not text:
         return ""
-    t = text
-    for x, y in _ONE_TO_MANY:
-        if x in t:
-            t = t.replace(x, y)
-    try:
-        b = t.encode("latin-1").translate(_FOLDED)
-        if b"\0" not in b:
-            return b.decode("latin-1")
-    except UnicodeEncodeError:
-        pass
+    m = _HARD.search(text)
+    if m is None:
+        return _folded_plain(text)
+    out, at, n = [], 0, len(text)
+    while m is not None:
+        a, b = m.start(), m.end()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        if a > at and unicodedata.combining(text[a]):
+            a -= 1
+        while m is not None and m.start() - b <= 40:
+            b = max(b, m.end())
+            while b < n and not (text[b].isspace() and not (b + 1 < n and unicodedata.combining(text[b + 1]))):
+                b += 1
+            m = _HARD.search(text, b)
+        out += [_folded_plain(text[at:a]), _folded(text[a:b])]
+        at = b
+    return "".join([*out, _folded_plain(text[at:])])
+
+
+def _folded(text: str) -> str:
     t = canonical(text)
     for x, y in _ONE_TO_MANY:
         t = t.replace(x, y)
     return _MARKS.sub("", unicodedata.normalize("NFKD", t.casefold())).replace("\u03bc", "\u00b5")
 
 
+def _folded_plain(text: str) -> str:
+    for x, y in _ONE_TO_MANY:
+        if x in text:
+            text = text.replace(x, y)
+    return text.encode("latin-1").translate(_FOLDED).decode("latin-1")
+
+
 _MARKS = regex.compile(r"\p{Mn}+")
 #: What folds to more than one character, or to one outside Latin-1 (fixed values).
 _ONE_TO_MANY = (("\u0153", "oe"), ("\u0152", "oe"), ("\u00e6", "ae"), ("\u00c6", "ae"), ("\u2019", "'"), ("\u00df", "ss"))
@@ -159,6 +179,8 @@ def _folded_byte(k: int) -> int:
 
 
 _FOLDED = bytes(map(_folded_byte, range(256)))
+#: What the table of bytes doesn't fold.
+_HARD = re.compile("[^" + "".join(re.escape(chr(k)) for k in range(256) if _FOLDED[k]) + "".join(x for x, _ in _ONE_TO_MANY) + "]")
 
 
 def canonical_frame(docs: DataFrame, text: str = "text", context: str = "context") -> DataFrame:

@@ -59,13 +59,11 @@ def hashes_of(words: list[str]) -> np.ndarray:
     """64-bit hashes of words; those of frequent words are kept."""
     if len(_HASHES) > 500_000:
         _HASHES.clear()
-    get, out = _HASHES.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    try:
+        return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        _HASHES.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) - _HASHES.keys())
+        return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -78,19 +76,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def phrases_of(hashes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Distinct hashes of the phrases of a text, given those of its words."""
+def phrases_of(hashes: np.ndarray, sizes: np.ndarray | None = None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the phrases of texts, given those of their words end to end and the texts' numbers of words, each at least 1 (by default one text);
+    and the numbers of phrases."""
     n = len(hashes)
-    if n < 2:
-        return _mixed(hashes * _A)
-    start = np.r_[0, np.flatnonzero(_mixed((hashes[:-1] * _A) ^ hashes[1:]) % np.uint64(length) == 0) + 1]
+    sizes = np.array([n]) if sizes is None else sizes
+    begins = np.cumsum(sizes) - sizes
+    new = np.zeros(n, bool)
+    new[1:] = _mixed((hashes[:-1] * _A) ^ hashes[1:]) % np.uint64(length) == 0
+    new[begins] = True
+    start = np.flatnonzero(new)
     place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
-    return np.unique(_mixed(np.add.reduceat(_mixed(hashes) * _PLACES[place % len(_PLACES)], start)))
+    made = _mixed(np.add.reduceat(_mixed(hashes) * _PLACES[place % len(_PLACES)], start))
+    owner = np.searchsorted(begins, start, side="right") - 1
+    order = np.lexsort((made, owner))
+    made, owner = made[order], owner[order]
+    first = np.r_[True, (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])]
+    return made[first], np.bincount(owner[first], minlength=len(sizes))
 
 
-def bag_of(hashes: np.ndarray) -> bytes:
-    """Numbers of words by bucket of their hash, one byte each; 255 stands for that many or more."""
-    return np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def bags_of(hashes: np.ndarray, sizes: np.ndarray | None = None) -> list[bytes]:
+    """Of each text the numbers of words by bucket of their hash, one byte each; 255 stands for that many or more."""
+    sizes = np.array([len(hashes)]) if sizes is None else sizes
+    at = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=BUCKETS * len(sizes)), 255).astype(np.uint8).tobytes()
+    return [counts[k : k + BUCKETS] for k in range(0, len(counts), BUCKETS)]
 
 
 def may_share(a: list[bytes], b: list[bytes], needed: np.ndarray) -> np.ndarray:
@@ -193,18 +203,27 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
     rows = docs.select(F.col(id_col).alias("id"), side.alias("side"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[id_col]
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, x, text in zip(b["id"], b["side"], b["text"]):
-                h = hashes_of(words_of(text))
-                if len(h):
-                    out.append((i, None if pd.isna(x) else int(x), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), len(h), bag_of(h), phrases_of(h).view(np.int64)))
-            made = pd.DataFrame(out, columns=["id", "side", "node", "words", "bag", "s"])
-            yield made.assign(side=made["side"].astype("Int32"))
+            # many texts at once, but a bounded number of characters
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                words = [words_of(x) for x in part["text"].to_pylist()]
+                sizes = np.array(list(map(len, words)), np.int64)
+                there = np.flatnonzero(sizes)
+                if not len(there):
+                    continue
+                sizes = sizes[there]
+                h = hashes_of([w for x in words for w in x])
+                ends = np.cumsum(sizes).tolist()
+                nodes = [xxhash.xxh3_64_intdigest(h[s:e].tobytes()) - (1 << 63) for s, e in zip([0, *ends], ends)]
+                phrases, counts = phrases_of(h, sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(phrases.view(np.int64)))
+                columns = [part["id"].take(pa.array(there)), part["side"].take(pa.array(there)), pa.array(nodes, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(bags_of(h, sizes), pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "side", "node", "words", "bag", "s"])
 
     # texts are read and cut into words once; what follows works on numbers. Tables are dropped when nothing reads them any more
-    table = written(rows.where(F.col("text").isNotNull()).mapInPandas(vectors, f"id {kind}, side int, node bigint, words int, bag binary, s array<bigint>"), "overlap-phrases")
+    table = written(rows.where(F.col("text").isNotNull()).mapInArrow(vectors, f"id {kind}, side int, node bigint, words int, bag binary, s array<bigint>"), "overlap-phrases")
     members = written(table.where("side IS NOT NULL").select("id", "side", "node"), "overlap-members")
     # one member of each class stands for it: in the counts, in the lists, and in the check
     heads = written(table.groupBy("side", "node").agg(F.min_by(F.struct("id", "words", "bag", "s"), "id").alias("h")).select("side", "node", "h.*"), "overlap-classes")

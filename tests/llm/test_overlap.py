@@ -35,7 +35,7 @@ def test_pairs_at_the_threshold_equal_brute_force_with_ties_copies_and_clashing_
     members, links = o.overlaps(df, threshold=0.3)
     got = [tuple(r) for r in o.overlap_pairs(members, links).collect()]
     assert len(got) == len(set(got))
-    want, texts = _brute(rows), {i: o.phrases_of(o.hashes_of(o.words_of(t))) for i, _, t in rows}
+    want, texts = _brute(rows), {i: o.phrases_of(o.hashes_of(o.words_of(t)))[0] for i, _, t in rows}
     kinds = {(s is not None and s.strip().lower() == "train", tuple(texts[i].tolist())) for i, s, _ in rows}
     n = Counter(x for _, k in kinds for x in k)
     mass = lambda s: sum(np.log1p(len(kinds) / n[x]) for x in s)
@@ -72,12 +72,20 @@ def test_common_subsequence_equals_the_table_method(a, b):
     assert o.ordered_words(a, b) == t[-1, -1]
 
 
+def test_phrases_and_bags_of_many_texts_are_those_of_each():
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 50, n).astype(np.uint64) * np.uint64(7919) for n in (1, 40, 1, 2, 700, 3)]
+    phrases, counts = o.phrases_of(np.concatenate(texts), np.array(list(map(len, texts))))
+    assert [x.tolist() for x in np.split(phrases, np.cumsum(counts)[:-1])] == [o.phrases_of(x)[0].tolist() for x in texts]
+    assert o.bags_of(np.concatenate(texts), np.array(list(map(len, texts)))) == [o.bags_of(x)[0] for x in texts]
+
+
 def test_an_edit_changes_few_phrases():
     r = random.Random(1)
     words = [f"w{r.randrange(1000)}" for _ in range(400)]
-    a = set(o.phrases_of(o.hashes_of(words)).tolist())
+    a = set(o.phrases_of(o.hashes_of(words))[0].tolist())
     words[200] = "autre"
-    b = set(o.phrases_of(o.hashes_of(words)).tolist())
+    b = set(o.phrases_of(o.hashes_of(words))[0].tolist())
     assert len(a - b) <= 3 and len(a) > 60
 
 
@@ -88,7 +96,7 @@ def test_pruned_lists_lose_no_pair_at_the_threshold(spark):
     for k in range(160):
         s = np.unique(np.concatenate([r.choice(p, r.integers(1, 12)) for p in pools]))
         words = int(r.integers(20, 90))
-        rows.append((k % 2 if k % 11 else None, k, k, words, bytearray(o.bag_of(r.integers(0, 1 << 60, words).astype(np.uint64))), [int(x) for x in s]))
+        rows.append((k % 2 if k % 11 else None, k, k, words, bytearray(o.bags_of(r.integers(0, 1 << 60, words).astype(np.uint64))[0]), [int(x) for x in s]))
     heads = spark.createDataFrame(rows, "side int, node bigint, id bigint, words int, bag binary, s array<bigint>")
     n = Counter(x for row in rows for x in row[5])
     mass = lambda s: sum(np.log1p(len(rows) / n[x]) for x in s)
@@ -114,9 +122,9 @@ def test_bags_never_deny_common_words_and_salted_lists_meet_as_whole_ones(spark)
         for _ in range(20):
             x, y = (r.integers(0, 400, size).astype(np.uint64) for _ in range(2))
             common = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
-            assert o.may_share([o.bag_of(x)], [o.bag_of(y)], np.array([common])).all()
-    assert not o.may_share([o.bag_of(np.arange(100, dtype=np.uint64))], [o.bag_of(np.arange(100, 120, dtype=np.uint64))], np.array([50])).any()
-    bag = o.bag_of(np.arange(50, dtype=np.uint64))
+            assert o.may_share(o.bags_of(x), o.bags_of(y), np.array([common])).all()
+    assert not o.may_share(o.bags_of(np.arange(100, dtype=np.uint64)), o.bags_of(np.arange(100, 120, dtype=np.uint64)), np.array([50])).any()
+    (bag,) = o.bags_of(np.arange(50, dtype=np.uint64))
     rows = [(k % 2, k, 50, bytearray(bag), [(7, 300, 0.9), (k // 2, 2, 0.8)]) for k in range(300)]
     index = spark.createDataFrame(rows, "side int, node bigint, words int, bag binary, z array<struct<s:bigint,df:int,rest:float>>")
     whole, salted = (o.candidates(index, 0.2, o.COMMON, most) for most in (1000, 16))
