@@ -1,14 +1,17 @@
 """One consistent form for text that looks the same but holds other characters.
 
-The canonical form of a text: NFC; width forms and ligatures replaced by what they stand for; invisible characters removed (joiners and
-variation selectors inside emoji stay); all spaces but tab and line breaks the ordinary one; hyphens `-`; and in words that mix Latin
-letters with look-alikes of another script, the look-alikes replaced by Latin letters. `µ`, `°`, `œ`, guillemets, emoji, single Greek
-letters and words of another script stay as they are.
+The canonical form of a text: NFC; width forms, presentation forms, ligatures and mathematical or circled letters replaced by what they stand for; invisible
+characters removed (joiners and variation selectors inside emoji stay); all spaces but tab and line breaks the ordinary one; hyphens `-`; and in words
+that mix Latin letters with letters of another script, those replaced by Latin letters: look-alikes of Greek and Cyrillic by a table, all other letters by
+the Latin letter their Unicode name gives them. `µ`, `°`, `œ`, guillemets, emoji, Greek letters standing alone and words of another script stay as they are, and so
+do ideographs, whose names give no letter.
 
-A text is only touched where it is unstable. A quick check (one search for a class of characters that can be unstable; every other
-character has the property "yes" of NFC's quick check and is no width form, space, hyphen, invisible or foreign letter) finds candidate
-places; each is widened to the segment that normalisation can reach (back to the last starter, forward over marks, or over the word for
-mixed scripts), the segment is normalised, and segments and untouched text are spliced.
+A text is only touched where it is unstable. The quick check is one search for the class of characters that can be unstable; the class is derived from the Unicode
+data at hand: what has not "yes" in NFC's quick check (it is replaced by NFC, or is a mark), what has one of the compatibility decompositions above, spaces,
+hyphens, invisible characters, letters of other scripts. Each place found is widened to a segment between white space: no step of the form reaches
+across it, but for a mark right after it, which takes it along. Segments are normalised and spliced into the untouched text.
+
+What is found unusual is what this changes: `find_unusual` and `canonical_frame` share `changes`.
 
 Nulls stay null, empty texts empty; equal rows give equal results.
 """
@@ -24,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts that look like Latin ones, and those (fixed values).
-LOOKALIKES = str.maketrans(
-    "аеоіјѕрсухԁһԛԝӏкмтвнАВЕЗКМНОРСТУХІЈЅԌԚԜӀ" + "αορνικτυχγηωεμΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeoijspcyxdhqwlkmtbhABE3KMHOPCTYXIJSGQWl" + "aopviktuxynweµABEZHIKMNOPTYX",
+#: Letters of Greek and Cyrillic that look like Latin ones, and those (fixed values).
+LOOKALIKES = dict(
+    zip(
+        "аеоіјѕрсухԁһԛԝӏкмтвнАВЕЗКМНОРСТУХІЈЅԌԚԜӀ" + "αορνικτυχγηωεμΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
+        "aeoijspcyxdhqwlkmtbhABE3KMHOPCTYXIJSGQWl" + "aopviktuxynweµABEZHIKMNOPTYX",
+    )
 )
 #: What a hyphen other than `-` may be (fixed values): hyphen, non-breaking hyphen, figure dash, small and full-width hyphen, Armenian and Mongolian ones.
 HYPHENS = r"\u2010\u2011\u2012\ufe63\uff0d\u058a\u1806"
@@ -35,14 +40,45 @@ HYPHENS = r"\u2010\u2011\u2012\ufe63\uff0d\u058a\u1806"
 INVISIBLE = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff"
 #: Spaces other than U+0020 (fixed values).
 SPACES = r"\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Full-width and half-width forms, small forms and ligatures (fixed values).
-WIDE = r"\uff01-\uff5e\uff5f\uff60-\uff9f\uffa1-\uffdc\uffe0-\uffe6\uffe8-\uffee\ufb00-\ufb06\ufb13-\ufb17\ufb1d-\ufb4f\ufe50-\ufe6b"
-#: Single characters that NFC replaces although they are no mark (fixed values): Angstrom, Kelvin, Ohm, Greek signs, compatibility ideographs.
-REPLACED = r"\u2126\u212a\u212b\u037e\u0387\u0374\u2329\u232a\uf900-\ufaff"
-
-#: A text without any of these is canonical: all others have "yes" in NFC's quick check and are no foreign letter, space, hyphen, width form or invisible.
-UNSTABLE = regex.compile(rf"[{INVISIBLE}{SPACES}{HYPHENS}{WIDE}{REPLACED}]|\p{{M}}|[^\P{{L}}\p{{Latin}}µ]")
-_INVISIBLE, _SPACES, _HYPHENS, _WIDE = (regex.compile(f"[{x}]") for x in (INVISIBLE, SPACES, HYPHENS, WIDE))
+#: Where characters with decompositions lie: the basic plane but for surrogates, historic scripts, mathematical and enclosed letters, compatibility ideographs.
+_PLANES = (range(0xA0, 0xD800), range(0xE000, 0x10000), range(0x11000, 0x12000), range(0x1D100, 0x1D800), range(0x1F100, 0x1F200), range(0x2F800, 0x2FA20))
+
+
+def _is_form(c: str) -> bool:
+    """Whether a character is another form of what its compatibility decomposition stands for, and looks like it."""
+    tag = unicodedata.decomposition(c).partition(" ")[0]
+    if tag in ("<wide>", "<narrow>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>"):
+        return True
+    if tag == "<font>":
+        return c >= "\U0001d400"  # mathematical letters; older ones, as the sign for litre, have uses of their own
+    if tag not in ("<compat>", "<circle>") or c == "µ" or (tag == "<compat>" and unicodedata.category(c)[0] != "L"):
+        return False
+    plain = unicodedata.normalize("NFKC", c)
+    return plain.isalpha() and (len(plain) > 1 or plain.isascii())
+
+
+def _class(points: list[int]) -> str:
+    """A class of characters for a pattern, from their code points in order."""
+    out, k = [], 0
+    while k < len(points):
+        m = k
+        while m + 1 < len(points) and points[m + 1] == points[m] + 1:
+            m += 1
+        out.append(rf"\U{points[k]:08x}" + (rf"-\U{points[m]:08x}" if m > k else ""))
+        k = m + 1
+    return "".join(out)
+
+
+_ALL = [c for r in _PLANES for c in map(chr, r) if unicodedata.decomposition(c)]
+_FORMS = _class([ord(c) for c in _ALL if _is_form(c)])
+#: Characters that NFC replaces although they are no mark.
+_REPLACED = _class([ord(c) for c in _ALL if not unicodedata.is_normalized("NFC", c)])
+
+#: A text without any of these is canonical. The class is spelled out for the basic plane, as a search for it is fast then; of the others it holds all that may be letters or marks.
+_LETTERS = "".join(chr(k) for r in (range(0xA0, 0xD800), range(0xE000, 0x10000)) for k in r if unicodedata.category(chr(k))[0] in "LM")
+_UNSTABLE = _class(sorted(map(ord, regex.findall(r"\p{M}|[^\p{Latin}µ]", _LETTERS))))
+UNSTABLE = re.compile(rf"[{INVISIBLE}{SPACES}{HYPHENS}{_FORMS}{_REPLACED}{_UNSTABLE}\U00010000-\U0001efff\U0001f100-\U0001f1ff\U00020000-\U0003ffff]")
+_INVISIBLE, _SPACES, _HYPHENS, _WIDE = (re.compile(f"[{x}]") for x in (INVISIBLE, SPACES, HYPHENS, _FORMS))
 #: An emoji with what joins or selects its parts.
 _EMOJI = regex.compile(
     r"(?:\p{Emoji_Presentation}|\p{Extended_Pictographic}|\p{Regional_Indicator}|[#*0-9](?=\ufe0f?\u20e3))[\ufe0e\ufe0f\u20e3\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]*"
@@ -50,7 +86,6 @@ _EMOJI = regex.compile(
 )
 _WORD = regex.compile(r"(?:\p{L}\p{M}*)+")
 _LATIN, _FOREIGN = regex.compile(r"\p{Latin}"), regex.compile(r"[^\P{L}\p{Latin}µ]")
-_MARKED = regex.compile(r"\p{L}\p{M}+")
 
 
 def is_mixed(word: str) -> bool:
@@ -58,26 +93,24 @@ def is_mixed(word: str) -> bool:
     return bool(_LATIN.search(word) and _FOREIGN.search(word))
 
 
-def find_kind(text: str | None) -> str | None:
-    """The first kind of unusual character in a text (width, mark, invisible, space, hyphen, script), or None."""
-    if not text or text.isascii() or not UNSTABLE.search(text):
-        return None
-    if _WIDE.search(text):
-        return "width"
-    if _SPACES.search(text):
-        return "space"
-    if _HYPHENS.search(text):
-        return "hyphen"
-    if _INVISIBLE.search(text) and _INVISIBLE.search(_EMOJI.sub("", text)):
-        return "invisible"
-    for m in _MARKED.finditer(text):
-        if unicodedata.normalize("NFC", m[0]) != m[0]:
-            return "mark"
-    if _FOREIGN.search(text):
-        for m in _WORD.finditer(text):
-            if is_mixed(m[0]):
-                return "script"
-    return None
+class _Latin(dict):
+    """Latin letters for letters of other scripts, by code point, made when first asked for."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        x = LOOKALIKES.get(c, c)
+        if x == c and _FOREIGN.match(c):
+            last = unicodedata.name(c, "").split(" ")[-1]
+            x = c if not last.isalpha() else last[0] if unicodedata.category(c) == "Lu" else last[0].lower()
+        self[point] = x
+        return x
+
+
+_LATIN_FOR = _Latin()
+
+
+def _latin_word(m) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(_LATIN_FOR)) if is_mixed(m[0]) else m[0]
 
 
 def _canonical_segment(s: str) -> str:
@@ -91,23 +124,15 @@ def _canonical_segment(s: str) -> str:
             at = m.end()
         s = "".join([*kept, _INVISIBLE.sub("", s[at:])])
     s = unicodedata.normalize("NFC", s)
-    if _FOREIGN.search(s):
-        s = _WORD.sub(lambda m: unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(LOOKALIKES)) if is_mixed(m[0]) else m[0], s)
-    return s
-
+    return _WORD.sub(_latin_word, s) if _FOREIGN.search(s) else s
 
-def canonical(text: str | None) -> str | None:
-    """The canonical form of a text: stable text is returned as it is, else only unstable segments are normalised and spliced in.
 
-    A segment runs from white space to white space around the characters found: marks attach to what stands before them, words
-    of mixed script end at the latest there, and no step of the form reaches across white space. Unusual spaces are segments too.
-    """
+def changes(text: str | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, canonical form) of the segments of a text whose canonical form differs, in order."""
     if not text or text.isascii():
-        return text
-    out, at, n = [], 0, len(text)
+        return
+    at, n = 0, len(text)
     m = UNSTABLE.search(text)
-    if m is None:
-        return text
     while m is not None:
         a, b = m.start(), m.end()
         while a > at and not text[a - 1].isspace():
@@ -116,11 +141,20 @@ def canonical(text: str | None) -> str | None:
             a -= 1
         while b < n and not (text[b].isspace() and not (b + 1 < n and unicodedata.combining(text[b + 1]))):
             b += 1
-        out += [text[at:a], _canonical_segment(text[a:b])]
+        s = text[a:b]
+        if (form := _canonical_segment(s)) != s:
+            yield a, b, form
         at = b
         m = UNSTABLE.search(text, b)
-    out.append(text[at:])
-    return "".join(out)
+
+
+def canonical(text: str | None) -> str | None:
+    """The canonical form of a text: stable text is returned as it is, else only unstable segments are normalised and spliced in."""
+    out, at = [], 0
+    for a, b, form in changes(text):
+        out += [text[at:a], form]
+        at = b
+    return "".join([*out, text[at:]]) if out else text
 
 
 def fold(text: str | None) -> str:
@@ -209,23 +243,26 @@ def canonical_frame(docs: DataFrame, text: str = "text", context: str = "context
 
 def stable(text):
     """The quick check in the JVM: a text of ASCII and the usual accented letters and signs needs no look in Python; null counts as stable."""
-    return F.coalesce(~text.rlike(r"[^\x00-\x7e\u00a1-\u00ac\u00ae-\u024f\u2013\u2014\u2018-\u201f\u2026\u20ac]"), F.lit(True))
+    return F.coalesce(~text.rlike(_JVM_UNSTABLE), F.lit(True))
+
+
+#: Up to U+024F what UNSTABLE leaves out, and a few signs.
+_JVM_UNSTABLE = "[^" + "".join(f"\\x{{{k:x}}}" for k in range(0x250) if not UNSTABLE.match(chr(k))) + r"\u2013\u2014\u2018-\u201f\u2026\u20ac]"
 
 
 def find_unusual(docs: DataFrame, id_col: str = "doc_id", text: str = "text", context: str = "context") -> DataFrame:
-    """(doc_id, field, kind): fields that hold an unusual character, `text` or `context` (any term of the map), with the first kind found.
+    """(doc_id, field): fields that the canonical form changes, `text` or `context` (any term of the map).
 
-    A row for each field of each row of `docs`; null and empty fields give none. The kinds are those of `find_kind`. Fields that
-    the JVM's quick check calls stable never reach Python.
+    A row for each such field of each row of `docs`; null and empty fields give none. Fields that the JVM's quick check calls stable never
+    reach Python, and others are read up to the first segment that changes.
     """
     joined = F.array_join(F.flatten(F.transform(F.map_values(F.col(context)), lambda v: F.coalesce(v, F.array().cast("array<string>")))), "\n")
     fields = F.array(F.struct(F.lit("text").alias("field"), F.col(text).alias("s")), F.struct(F.lit("context").alias("field"), joined.alias("s")))
     rows = docs.select(F.col(id_col), F.explode(fields).alias("f")).select(id_col, "f.field", "f.s").where(~stable(F.col("s")))
 
-    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def changed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            k = b["s"].map(find_kind)
-            yield pd.DataFrame({id_col: b[id_col], "field": b["field"], "kind": k})[k.notna()]
+            yield b.loc[[next(changes(x), None) is not None for x in b["s"]], [id_col, "field"]]
 
     types = dict(docs.dtypes)
-    return rows.mapInPandas(kinds, f"`{id_col}` {types[id_col]}, field string, kind string")
+    return rows.mapInPandas(changed, f"`{id_col}` {types[id_col]}, field string")

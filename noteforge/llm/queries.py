@@ -41,7 +41,7 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise.find_unusual(_documents(spark, folder)).select("doc_id", "field")
+    return normalise.find_unusual(_documents(spark, folder))
 
 
 def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
