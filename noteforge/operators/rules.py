@@ -3,77 +3,44 @@
 The rules read a fold of the text of the same length (small letters, no accents, plain quotes), so offsets need no mapping. `case_preserving`
 lets address rules read the text as it is, where capital street and city names count too. Results are trimmed, widened to tokens and united.
 
-One Arrow pass over documents; nothing is shuffled. A null text has no spans; a null context, and null lists and terms in it, are empty.
+One Arrow pass over documents; nothing is shuffled. A null text has no spans; a null context, and null lists and terms in it, are empty;
+a context of another shape raises ValueError.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Mapping
 from string import punctuation
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 
 from noteforge.operators.spans import longest_first
 
 SPANS = "array<struct<span_start:int,span_end:int,label:string>>"
 
-# Kinds of streets, small words in street names, and the forms of numbers.
-STREETS = "avenue villa impasse ave rues? cours? place? parvis? routes? alll?ee? sentier faubourg passage boulevards? bd chemin quaie?s? residences? citee? square".split()
-#: Words before a kind of street that make it something else ("en cours", "au cours", "de la place", "en route", "de passage").
-NOT_AFTER = {"cours?": "en|au|le", "place?": "en|de|la", "routes?": "en", "passage": "de"}
-SMALL_WORDS = "de|du|la|a|à|le|les|des|d|l"
-
-
-def _phone() -> str:
-    """French numbers: 0 and nine digits, or +33 / 0033 with an optional (0); in pairs or triples, one kind of separator throughout."""
-    forms = []
-    for sep, between in ((r"\.", r"\."), ("-", "-"), ("-?", " ?")):
-        gap = rf"\s?{sep}\s?" if sep != "-?" else r"\s?(?:-\s?)?"
-        trunk = rf"(?:(?:\+|00)33{gap}(?:\(0\){gap if sep != '-?' else r'\s?'})?|0)"
-        forms.append(rf"{trunk}[1-9](?:(?:{between}\d\d){{4}}|\d\d(?:{between}\d{{3}}){{2}})(?!\d)")
-    return rf"(?<!\d[ .-]{{0,3}})(?<!\w)(?:{'|'.join(forms)})\b(?![ .-]{{0,3}}\d)"
-
-
-def _mail() -> str:
-    """Local part, @ and domain; single blanks may stand around @ and dots; quoted local parts and address literals too."""
-    atom = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
-    host = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-    number = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
-    return rf"""(?:{atom}(?: ?\. ?{atom})*|"(?:[^"\\\r\n]|\\.)*") ?@ ?(?:(?:{host} ?\. ?)+{host}|\[(?:{number} ?\. ?){{3}}{number}\])"""
-
-
-def _identity() -> str:
-    """Sex, year, month, place and order of birth and a key from 01 to 97, or 15 digits of a temporary number; single blanks anywhere."""
-    d = r"\d ?"
-    month = r"(?:0 ?\d|[2-35-9] ?\d|[14] ?[0-2])"
-    mainland = rf"(?:0 ?[1-9]|[1-8] ?\d|9 ?[0-69]|2 ?[ab]) ?(?:0 ?0 ?[1-9]|0 ?[1-9] ?\d|[1-8] ?(?:{d}){{2}}|9 ?[0-8] ?\d|9 ?9 ?0)"
-    overseas = r"9 ?[78] ?\d ?(?:0 ?[1-9]|[1-8] ?\d|90)"
-    order = rf"(?:0 ?0 ?[1-9]|0 ?[1-9] ?\d|[1-9] ?(?:{d}){{2}})"
-    key = r"(?:0 ?[1-9]|[1-8] ?\d|9 ?[0-7])"
-    return rf"(?<!\d[ ./+=_-]{{0,3}})\b(?:[12] ?(?:{d}){{2}} ?{month} ?(?:{mainland}|{overseas}) ?{order} ?{key}|[3478] ?(?:{d}){{14}})(?<! )\b(?![ .-]{{0,3}}\d)"
-
-
-def _street_types(style) -> str:
-    return "|".join((rf"(?<!(?i:{NOT_AFTER[s]}) )" if s in NOT_AFTER else "") + style(s) for s in STREETS)
-
-
-def _title(s: str) -> str:
-    return s[0].upper() + s[1:]
-
-
-_NUMBER = r"(?:(?<!:)\b(?P<number>\d+),?(?:\s*(?:bis|ter|a|b))? +)?"
-_POSTCODE = r"(?:(?:(?: *[à,.-])?[ ]*\n?[ ]*\(?(?P<zip>\d\d ?\d{3}|(?:[1-9]|1\d|20)[èe]m?e?)\b\)?)?)"
-_CITY = r"(?: *\n? *(?P<city>[A-Z][A-Z]+(?:[- ][A-Z]{2,}|-(?:SUR|EN|sur|en))*))?"
-_PIECE = rf"(?:(?P<word>[a-zéèà]{{2,}})|{SMALL_WORDS})\b|d'"
-
-PHONE, MAIL, IDENTITY = regex.compile(_phone()), regex.compile(_mail()), regex.compile(_identity())
-ADDRESS = regex.compile(rf"(?P<street>{_NUMBER}\b(?:{_street_types(str)})\b[ -]+(?:\b(?:{_PIECE})[ -]*)*\b(?:{_PIECE}))(?={_POSTCODE})")
-ADDRESS_CASED = regex.compile(
-    rf"(?P<trigger>[Aa]dresse ?: *)?(?P<street>(?i:{_NUMBER})(?:\b(?P<upper>{_street_types(str.upper)})\b +(?:\b[A-Z'.]+[ -]*)*\b[A-Z]{{2,}}|\b(?:{_street_types(str)}|{_street_types(_title)})\b[ -]+(?:\b(?:(?P<name>[A-Z][A-Za-zéèà]+)|{_PIECE}|D')[ -]*)*\b(?:(?P<name>[A-Z][A-Za-zéèà]+)|{_PIECE})))(?=(?i:{_POSTCODE}){_CITY})"
-)
+# Words for kinds of streets, without accents; each may have a plural s.
+STREETS = "allee ave avenue bd boulevard chemin cite cour cours faubourg impasse parvis passage place quai residence route rue sentier square villa".split()
+#: Words before a kind of street that make it something else: "en cours", "de la place", "en route", "de passage" (fixed values).
+NOT_AFTER = {"cour": {"en", "au", "le"}, "place": {"en", "de", "la"}, "route": {"en"}, "passage": {"de"}}
+#: Words of one letter in names of streets, and what may follow a number (fixed values).
+SMALL_WORDS, REPEATS = {"a", "à", "d", "l"}, ("bis", "ter", "a", "b")
+
+_ATOM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789!#$%&'*+-/=?^_`{|}~")
+_LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?")
+_LITERAL = re.compile(r"\[(\d{1,3}) ?\. ?(\d{1,3}) ?\. ?(\d{1,3}) ?\. ?(\d{1,3})\]")
+_DOT = re.compile(r" ?\. ?")
+_TRUNK = re.compile(r"(?<!\w)(?:(?:\+|00)33[ .-]{0,3}(?:\(0\)[ .-]{0,3})?|0)(?=[1-9])")
+_DIGITS_15 = re.compile(r"(?<!\w)[1-478](?: ?[\dab]){14}(?!\w)", re.ASCII)
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"\d[ ./+=_-]{0,3}\Z"), re.compile(r"[ .-]{0,3}\d")
+_KIND = re.compile(rf"(?<!\w)({'|'.join(STREETS)})s?(?=[ -])")
+_STREET_WORD = re.compile(r"[DdL]'|[^\W\d_]+")
+_HOUSE = re.compile(rf"(?<![\w:])\d+,?(?:\s*(?:{'|'.join(REPEATS)}))? +\Z")
+_ADRESSE = re.compile(r"[Aa]dresse ?: *\Z")
+_ZIP = re.compile(r"(?: *[à,.-])? *\n? *\(?(\d\d ?\d{3}|(?:[1-9]|1\d|20)[èe]m?e?)(?!\w)", re.IGNORECASE)
+_CITY = re.compile(r"(?: *[à,.-] *| *\n? *)([A-ZÀ-ÖØ-Þ]{2,}(?:[- ](?:[A-ZÀ-ÖØ-Þ]{2,}|sur|en))*(?:(?<=CEDEX) *\d\d)?)(?!\w)")
 
 _QUOTES = str.maketrans("’‘ʼ′“”«»", "''''\"\"\"\"")
 _EDGE = punctuation + " \t\r\n\f\v  "
@@ -110,23 +77,101 @@ def same_length_fold(text: str) -> str:
     return text.translate(_FOLDS)
 
 
+def _clear(text: str, start: int, end: int) -> bool:
+    """Whether no other digits stand near a number, with at most three separators between."""
+    return not _DIGIT_BEFORE.search(text, max(0, start - 4), start) and not _DIGIT_AFTER.match(text, end)
+
+
+def _grouped(text: str, at: int, breaks: tuple[int, ...], mark: str) -> int | None:
+    """The end of nine digits from `at` on with `mark` after those counted in `breaks`; a blank as mark may be missing."""
+    for k in range(9):
+        if k in breaks:
+            if text.startswith(mark, at):
+                at += 1
+            elif mark != " ":
+                return None
+        if not ("0" <= text[at : at + 1] <= "9"):
+            return None
+        at += 1
+    return at
+
+
+def _phones(folded: str) -> list[tuple[int, int, str]]:
+    """French numbers: 0 and nine digits, or +33 / 0033 with an optional (0); in pairs or triples, one kind of separator throughout."""
+    spans, done = [], 0
+    for m in _TRUNK.finditer(folded):
+        if m.start() >= done:
+            ends = (_grouped(folded, m.end(), breaks, mark) for breaks in ((1, 3, 5, 7), (3, 6)) for mark in ".- ")
+            done = next((e for e in ends if e is not None and not folded[e : e + 1].isalnum() and _clear(folded, m.start(), e)), done)
+            if done > m.start():
+                spans.append((m.start(), done, "TEL"))
+    return spans
+
+
+def _is_identity(s: str) -> bool:
+    """Whether 15 signs are a national identity number, field by field: sex, year, month, place and order of birth, key. Numbers that begin with 3, 4, 7 or 8 are
+    temporary and have digits only. Months above 12 stand for unknown ones (20 to 42, 50 to 99)."""
+    if s[0] not in "12":
+        return s.isdecimal()
+    place, commune, rest = s[5:7], s[7:10], s[1:5] + s[10:]
+    if not rest.isdecimal() or not commune.isdecimal() or not (place.isdecimal() or place in ("2a", "2b")):
+        return False
+    month, order, key = int(s[3:5]), int(s[10:13]), int(s[13:])
+    if place in ("97", "98"):  # overseas: a third figure for the territory, two for the commune
+        born = 1 <= int(commune[1:]) <= 90
+    else:
+        born = place != "00" and 1 <= int(commune) <= 990
+    return (month <= 12 or 20 <= month <= 42 or month >= 50) and born and order > 0 and 1 <= key <= 97
+
+
+def _identities(folded: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), "SECU") for m in _DIGITS_15.finditer(folded) if _clear(folded, *m.span()) and _is_identity(m[0].replace(" ", ""))]
+
+
+def _domain_end(text: str, at: int) -> int | None:
+    """The end of a domain of two labels or more from `at` on, or of an address literal; single blanks may stand around dots."""
+    literal = _LITERAL.match(text, at)
+    if literal:
+        return literal.end() if all(int(x) < 256 for x in literal.groups()) else None
+    m, n = _LABEL.match(text, at), 0
+    while m:
+        end, n = m.end(), n + 1
+        dot = _DOT.match(text, end)
+        m = _LABEL.match(text, dot.end()) if dot else None
+    return end if n > 1 else None
+
+
+def _local_start(text: str, end: int, floor: int) -> int | None:
+    """The start of the local part that ends at `end`: atoms with dots, single blanks around them, or a quoted string of one line."""
+    if end - 1 > floor and text[end - 1] == '"':
+        line = text.rfind("\n", floor, end) + 1
+        start = text.find('"', max(floor, line), end - 1)
+        return start if start >= 0 else None
+    start = None
+    while True:
+        low = end
+        while low > floor and text[low - 1] in _ATOM:
+            low -= 1
+        if low == end:
+            return start
+        start = end = low
+        end -= end > floor and text[end - 1] == " "
+        if not (end > floor and text[end - 1] == "."):
+            return start
+        end -= 1
+        end -= end > floor and text[end - 1] == " "
+
+
 def _mails(folded: str) -> list[tuple[int, int, str]]:
-    """Mail addresses: only stretches around an @ that hold nothing else are searched. A quoted local part may hold anything, so its line is."""
-    spans, done, at = [], 0, folded.find("@")
+    """Mail addresses: what stands around an @."""
+    spans, floor, at = [], 0, folded.find("@")
     while at >= 0:
-        low = at
-        while low > done and (folded[low - 1].isalnum() and folded[low - 1].isascii() or folded[low - 1] in "!#$%&'*+/=?^_`{|}~. -"):
-            low -= 1
-        if low > done and folded[low - 1] == '"':
-            low = max(done, folded.rfind("\n", done, low) + 1)
-        high = folded.find("\n", at)
-        m = MAIL.search(folded, low, len(folded) if high < 0 else high)
-        if m and m.start() <= at:
-            spans.append((*m.span(), "MAIL"))
-            done = m.end()
-        else:
-            done = at + 1
-        at = folded.find("@", max(done, at + 1))
+        end = _domain_end(folded, at + 1 + folded.startswith(" ", at + 1))
+        before = at - (at > floor and folded[at - 1] == " ")
+        if end is not None and (start := _local_start(folded, before, floor)) is not None:
+            spans.append((start, end, "MAIL"))
+            floor = end
+        at = folded.find("@", max(floor, at + 1))
     return spans
 
 
@@ -135,38 +180,81 @@ def mail_values(folded: str) -> list[str]:
     return [folded[s:e] for s, e, _ in _mails(folded)]
 
 
+def _street_end(text: str, at: int, capitals: bool) -> tuple[int, bool, bool] | None:
+    """Of the name of a street from `at` on: its end, whether it holds a word with a capital, and whether one of small letters. Words are apart by blanks and hyphens; after a kind
+    of street in `capitals` all are in capitals."""
+    end, name, word = None, False, False
+    while True:
+        gap = at
+        while text[gap : gap + 1] in (" ", "-"):
+            gap += 1
+        m = _STREET_WORD.match(text, gap)
+        if m is None or (capitals and not m[0].isupper()) or (len(m[0]) == 1 and m[0].lower() not in SMALL_WORDS):
+            return None if end is None else (end, name, word)
+        at = m.end()
+        if not m[0].endswith("'"):
+            end = at
+            name, word = name or (len(m[0]) > 1 and m[0][0].isupper()), word or (len(m[0]) > 1 and m[0].islower())
+
+
 def _addresses(text: str, folded: str, cased: bool) -> list[tuple[int, int, str]]:
-    """Addresses with a number, words of a street and what supports them: a postcode; in cased text also a city, a trigger or a name in capitals."""
-    found = []
-    for m in (ADDRESS_CASED if cased else ADDRESS).finditer(text if cased else folded):
-        g = m.capturesdict()
-        city, place = bool(g.get("city")), bool(g["zip"]) or bool(g.get("city")) or bool(g.get("trigger"))
-        if (g.get("upper") and g["number"]) or (g["zip"] and city and g["number"]) or (place and (g.get("name") or (g["number"] and g["word"]))):
-            found.append(m)
+    """Addresses with a number, words of a street and what supports them: a postcode; in cased text also a city in capitals, before or after the postcode, the word
+    "adresse" before, or a name with a capital."""
+    source, found, done = text if cased else folded, [], 0
+    for m in _KIND.finditer(folded):
+        written = source[m.start() : m.end()]
+        before = folded[max(0, m.start() - 8) : m.start()].split(" ")
+        if m.start() < done or (before[-1] == "" and len(before) > 1 and before[-2] in NOT_AFTER.get(m[1].rstrip("s"), ())) or not (written.islower() or written.istitle() or written.isupper()):
+            continue
+        capitals = cased and written.isupper()
+        street = _street_end(source, m.end(), capitals)
+        if street is None:
+            continue
+        end, name, word = street
+        done = end
+        house = _HOUSE.search(folded, max(0, m.start() - 24), m.start())
+        start = house.start() if house else m.start()
+        zip_ = _ZIP.match(source, end)
+        city = _CITY.match(source, zip_.end() + source.startswith(")", zip_.end()) if zip_ else end) if cased else None
+        if city and not zip_:
+            zip_ = _ZIP.match(source, city.end())
+        named = bool(zip_ or city or (cased and _ADRESSE.search(source, max(0, start - 12), start)))
+        if (capitals and house) or (zip_ and city and house) or (named and (name or (house and word))):
+            found.append((start, end, city, zip_))
     spans = []
-    for k in longest_first([m.span("street") for m in found]):
-        m = found[k]
-        spans.append((*m.span("street"), "ADRESSE"))
-        for group, label in (("city", "VILLE"), ("zip", "ZIP")):
-            if group in m.re.groupindex and m[group]:
-                spans.append((*m.span(group), label))
+    for k in longest_first([x[:2] for x in found]):
+        start, end, city, zip_ = found[k]
+        spans += [(start, end, "ADRESSE"), *((*x.span(1), label) for x, label in ((city, "VILLE"), (zip_, "ZIP")) if x)]
     return spans
 
 
+def checked_context(context) -> dict[str, list[str]]:
+    """Terms by label, in one spelling of labels; null lists and terms are left out. ValueError unless labels are not empty and terms are lists of strings."""
+    if isinstance(context, list) and all(isinstance(x, tuple) and len(x) == 2 for x in context):
+        context = dict(context)  # as Arrow gives maps
+    if not isinstance(context, Mapping):
+        raise ValueError("context must map labels to lists of strings")
+    terms: dict[str, list[str]] = {}
+    for label, values in context.items():
+        if not isinstance(label, str) or not label or isinstance(values, (str, bytes, Mapping)) or not (values is None or hasattr(values, "__iter__")):
+            raise ValueError("context must map labels to lists of strings")
+        values = [v for v in (values if values is not None else ()) if v is not None]
+        if not all(isinstance(v, str) for v in values):
+            raise ValueError("terms of a context must be strings")
+        terms.setdefault({"EMAIL": "MAIL", "NOM_NAISS": "NOM"}.get(label, label), []).extend(values)
+    return terms
+
+
 def _context(folded: str, context) -> list[tuple[int, int, str]]:
     """Occurrences of the patient's terms as whole tokens; EMAIL counts as MAIL, NOM_NAISS as NOM."""
-    terms: dict[str, set[str]] = {}
-    for label, values in (context.items() if isinstance(context, dict) else context or ()):
-        label = {"EMAIL": "MAIL", "NOM_NAISS": "NOM"}.get(label, label)
-        for v in values if values is not None else ():
-            v = " ".join(same_length_fold(v or "").split())
-            if v.strip(punctuation + " "):
-                terms.setdefault(label, set()).add(v)
     spans = []
-    for label, values in terms.items():
-        for v in values:
+    for label, values in checked_context(context if context is not None else {}).items():
+        for v in {" ".join(same_length_fold(v).split()) for v in values}:
+            if not v.strip(punctuation + " "):
+                continue
             if " " in v:  # a blank of a term matches any run of blanks
-                spans += [(*m.span(), label) for m in regex.finditer(r"\s+".join(map(regex.escape, v.split(" "))), folded, overlapped=True) if _whole(folded, *m.span())]
+                pattern = re.compile(rf"(?=({r'\s+'.join(map(re.escape, v.split(' ')))}))")
+                spans += [(*m.span(1), label) for m in pattern.finditer(folded) if _whole(folded, *m.span(1))]
                 continue
             at = folded.find(v)
             while at >= 0:
@@ -240,8 +328,7 @@ def rule_spans(text: str | None, context=None, case_preserving: bool = False) ->
     if not text:
         return []
     folded = same_length_fold(text)
-    spans = _mails(folded) + [(*m.span(), label) for p, label in ((PHONE, "TEL"), (IDENTITY, "SECU")) for m in p.finditer(folded)]
-    return cleaned(text, spans + _addresses(text, folded, case_preserving) + _context(folded, context))
+    return cleaned(text, _mails(folded) + _phones(folded) + _identities(folded) + _addresses(text, folded, case_preserving) + _context(folded, context))
 
 
 def with_rule_spans(docs: DataFrame, context: str | None = "context", case_preserving: bool = False) -> DataFrame:

@@ -57,7 +57,8 @@ def p5_found(spark, folder):
 
 
 def p5_loaded_notes(spark, folder):
-    return rejects.loaded_notes(rejects.decode(_read(spark, folder, "raw_rows")))
+    notes = rejects.loaded_notes(rejects.decode(_read(spark, folder, "raw_rows")))
+    return notes.select("row_id", "text", F.to_json("entities").alias("entities"), F.to_json("context").alias("context"))
 
 
 def p5_loaded_spans(spark, folder):
@@ -180,16 +181,18 @@ def selected_by_profile(spark, folder):
     return chosen.groupBy("profile").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-def _selected(spark, folder, threshold):
-    return lines.select_lines(lines.split_lines(_annotated(spark, folder)), _scores(spark, folder), threshold)
+def _selected(spark, folder, threshold, annotated=True):
+    """Selected lines, of annotated documents or of all."""
+    docs = _annotated(spark, folder) if annotated else _docs(spark, folder)
+    return lines.select_lines(lines.split_lines(docs), _scores(spark, folder), threshold)
 
 
 def packed_texts(spark, folder):
-    return _longs(lines.pack_lines(_selected(spark, folder, BALANCED)).select("doc_id", F.md5("packed_text").alias("packed_md5"), "n_segments", "selected_characters", "model_characters"))
+    return _longs(lines.pack_lines(_selected(spark, folder, BALANCED, False)).select("doc_id", F.md5("packed_text").alias("packed_md5"), "n_segments", "selected_characters", "model_characters"))
 
 
 def packed_segments(spark, folder):
-    return _longs(lines.segments(_selected(spark, folder, BALANCED)))
+    return _longs(lines.segments(_selected(spark, folder, BALANCED, False)))
 
 
 def projected_spans(spark, folder):
@@ -337,9 +340,10 @@ _CHARS = r"""chars AS (SELECT DISTINCT doc_id, span_start + k AS pos, label FROM
   WHERE regexp_full_match(substr(piece, k + 1, 1), '[\p{L}\p{N}]'))"""
 
 
-def _segments(threshold: float | None) -> str:
+def _segments(threshold: float | None, annotated: bool = True) -> str:
+    joined = " JOIN annotated USING (doc_id)" if annotated else ""
     chosen = "" if threshold is None else f" JOIN latest USING (doc_id, line_no) WHERE score >= {threshold}"
-    return f"""{_LINES}, {_ANNOTATED}, {_SCORES}, chosen AS (SELECT doc_id, line_no, line_start, line_end, content FROM lines JOIN annotated USING (doc_id){chosen}),
+    return f"""{_LINES}, {_ANNOTATED}, {_SCORES}, chosen AS (SELECT doc_id, line_no, line_start, line_end, content FROM lines{joined}{chosen}),
 runs_1 AS (SELECT *, CASE WHEN line_start = lag(line_end) OVER (PARTITION BY doc_id ORDER BY line_start) THEN 0 ELSE 1 END AS fresh FROM chosen),
 runs_2 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_start) AS run FROM runs_1),
 runs AS (SELECT doc_id, run, min(line_start) AS run_start, max(line_end) AS run_end, string_agg(content, '' ORDER BY line_start) AS chunk FROM runs_2 GROUP BY doc_id, run),
@@ -409,8 +413,16 @@ spans_2 AS (SELECT row_id, regexp_full_match(raw, '(?:{_FIELD})(?:;(?:{_FIELD}))
 csv_spans AS (SELECT row_id, CASE WHEN NOT good THEN 'quoting' WHEN len(f) <> 5 THEN 'columns' WHEN f[2] = '' THEN 'text'
   WHEN NOT coalesce(regexp_full_match(f[3], '[0-9]+') AND regexp_full_match(f[4], '[0-9]+') AND TRY_CAST(f[3] AS HUGEINT) < TRY_CAST(f[4] AS HUGEINT) AND TRY_CAST(f[4] AS HUGEINT) <= length(f[2]), false) THEN 'offsets' WHEN f[5] = '' THEN 'label' END AS reason, f FROM spans_2)"""
 
+_FOLDED = """folded AS (SELECT doc_id, text, strip_accents(lower(translate(text, 'FW' || chr(160) || chr(8199) || chr(8201) || chr(8239) || chr(12288), 'AS' || '     '))) AS t FROM documents)""".replace("FW", "".join(chr(0xFF01 + k) for k in range(94))).replace("'AS'", "'" + _PLAIN + "'")
+_ATOMS = r"[a-z0-9!#$%&''*+/=?^_`{|}~-]+"
+#: A mail address as RFC 5321 has it: a dot-string or a quoted string, then a domain or an address literal.
+_ADDRESS_SPEC = rf"""({_ATOMS}( ?\. ?{_ATOMS})*|"[^"\n]*") ?@ ?([a-z0-9]([a-z0-9-]*[a-z0-9])?( ?\. ?[a-z0-9]([a-z0-9-]*[a-z0-9])?)+|\[[0-9. ]+\])"""
+
 ORACLE: dict[str, str] = {
     "p5_found": f"WITH {_DECODED} SELECT row_id, reason FROM notes WHERE reason IS NOT NULL UNION ALL SELECT row_id, reason FROM csv_spans WHERE reason IS NOT NULL UNION ALL SELECT row_id, 'feed' FROM raw_rows WHERE feed IS NULL OR feed NOT IN ('notes_jsonl', 'spans_csv')",
+    "p5_loaded_notes": rf"""WITH {_DECODED}, good_notes AS (SELECT row_id, j FROM notes JOIN notes_3 USING (row_id) WHERE reason IS NULL), es AS (SELECT row_id, unnest(json_extract(j, '$.entities[*]')) AS e FROM good_notes),
+typed AS (SELECT row_id, list({{'start': (e ->> '$.start')::INT, 'end': (e ->> '$.end')::INT, 'label': e ->> '$.label'}} ORDER BY (e ->> '$.start')::INT) AS entities FROM es GROUP BY row_id)
+SELECT row_id, j ->> '$.text' AS text, coalesce(to_json(entities)::VARCHAR, '[]') AS entities, CASE WHEN json_type(j, '$.context') = 'OBJECT' THEN json_extract(j, '$.context')::VARCHAR END AS context FROM good_notes LEFT JOIN typed USING (row_id)""",
     "p5_loaded_spans": f"WITH {_DECODED} SELECT row_id, f[1] AS note, f[2] AS text, f[3]::BIGINT AS span_start, f[4]::BIGINT AS span_end, f[5] AS label FROM csv_spans WHERE reason IS NULL",
     "line_split": f"WITH {_LINES} SELECT doc_id, line_no::BIGINT AS line_no, line_start, line_end FROM lines",
     "line_stats_by_lang": f"WITH {_LINES} SELECT lower(substr(lang, 1, 2)) AS lang, count(*) AS n_lines, sum(length(content))::BIGINT AS n_chars, max(length(content))::BIGINT AS longest FROM lines JOIN documents USING (doc_id) GROUP BY 1",
@@ -447,8 +459,8 @@ SELECT doc_id, line_no::BIGINT AS line_no, n_rules::BIGINT AS n_rules, rules, co
     "class_balance": f"WITH {_RESIDUAL} SELECT count(*) AS n_lines, count(*) FILTER (WHERE is_residual) AS n_positive, (count(*) FILTER (WHERE NOT is_residual))::DOUBLE / nullif(count(*) FILTER (WHERE is_residual), 0) AS positive_weight FROM residual",
     "latest_scores": f"WITH {_SCORES} SELECT * FROM latest",
     "selected_by_profile": f"WITH {_SCORES} SELECT profile, count(*) AS n_lines, count(DISTINCT doc_id) AS n_documents FROM latest JOIN profiles ON score >= threshold GROUP BY profile",
-    "packed_texts": f"WITH {_segments(BALANCED)} SELECT doc_id, md5(string_agg(chunk, chr(10) ORDER BY run)) AS packed_md5, count(*) AS n_segments, sum(run_end - run_start)::BIGINT AS selected_characters, (sum(run_end - run_start) + count(*) - 1)::BIGINT AS model_characters FROM runs GROUP BY doc_id",
-    "packed_segments": f"WITH {_segments(BALANCED)} SELECT doc_id, seg_no, packed_start, packed_start + size AS packed_end, document_start FROM segments",
+    "packed_texts": f"WITH {_segments(BALANCED, False)} SELECT doc_id, md5(string_agg(chunk, chr(10) ORDER BY run)) AS packed_md5, count(*) AS n_segments, sum(run_end - run_start)::BIGINT AS selected_characters, (sum(run_end - run_start) + count(*) - 1)::BIGINT AS model_characters FROM runs GROUP BY doc_id",
+    "packed_segments": f"WITH {_segments(BALANCED, False)} SELECT doc_id, seg_no, packed_start, packed_start + size AS packed_end, document_start FROM segments",
     "projected_spans": f"WITH {_segments(BALANCED)}, {_SPANS} SELECT v.doc_id, span_start, span_end, label FROM valid v JOIN segments s ON v.doc_id = s.doc_id AND s.document_start <= v.span_start AND v.span_end <= s.document_start + s.size WHERE source = 0",
     "routed_all_lines": _route(None),
     "routed_balanced": _route(BALANCED),
@@ -463,5 +475,5 @@ SELECT threshold, (sum(c) OVER (ORDER BY threshold DESC))::BIGINT AS selected_ch
     "calibrated_profiles": """WITH budgets(profile, loss) AS (VALUES ('prudent', 0.001::DOUBLE), ('balanced', 0.005::DOUBLE), ('fast', 0.01::DOUBLE)), base AS (SELECT recall AS r, group_recall AS g FROM points WHERE threshold = 0),
 fits AS (SELECT profile, p.* FROM points p, base b, budgets WHERE b.r - p.recall <= loss + 1e-12 AND coalesce(list_bool_and(list_transform(map_keys(b.g), lambda k: coalesce(b.g[k] - p.group_recall[k] <= loss + 1e-12, true))), true))
 SELECT profile, arg_min(threshold, (model_chars, selected_chars, -threshold)) AS threshold, arg_min(model_chars, (model_chars, selected_chars, -threshold)) AS model_chars, arg_min(selected_chars, (model_chars, selected_chars, -threshold)) AS selected_chars FROM fits GROUP BY profile""",
-    "mail_values": """SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(translate(text, 'FW' || chr(160) || chr(8199) || chr(8201) || chr(8239) || chr(12288), 'AS' || '     '))), 'MAIL')) AS value FROM documents) GROUP BY ALL""".replace("FW", "".join(chr(0xFF01 + k) for k in range(94))).replace("'AS'", "'" + _PLAIN + "'").replace("'MAIL'", "'" + _quoted(rules.MAIL.pattern) + "'"),
+    "mail_values": f"WITH {_FOLDED} SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_ADDRESS_SPEC}')) AS value FROM folded) GROUP BY ALL",
 }

@@ -37,6 +37,27 @@ def test_context_terms():
     assert _found("Martinet", {"NOM": ["martin"]}) == [] and rules.rule_spans(None) == [] and rules.rule_spans("") == []
 
 
+def test_cities_stand_before_or_after_the_postcode():
+    cased = lambda t: _found(t, case_preserving=True)
+    assert cased("Domicile : 12 rue de la Paix, PARIS 75002.") == [("ADRESSE", "12 rue de la Paix"), ("VILLE", "PARIS"), ("ZIP", "75002")]
+    assert ("VILLE", "LYON CEDEX 03") in cased("Adresse : 8 quai Perrache\n69003 LYON CEDEX 03")
+    assert cased("Adresse : rue Pasteur") == [("ADRESSE", "rue Pasteur")]
+
+
+def test_malformed_contexts_are_refused():
+    for bad in ({"NOM": "Luc"}, ["NOM"], {"NOM": ["Luc", 3]}, {"": ["Luc"]}, {3: ["Luc"]}, "NOM", {"NOM": {"Luc": 1}}):
+        with pytest.raises(ValueError):
+            rules.rule_spans("Luc", bad)
+
+
+def test_identity_numbers_field_by_field():
+    good = ["184057511600611", "1 84 05 2A 116 006 11", "299129712345697".replace("12345", "10145"), "300000000000000"]
+    bad = ["184137511600611", "184050011600611", "184057500000611", "184057511600600", "184057511600698", "18405751160061", "184059799100611"]
+    assert [rules._identities(x.lower()) != [] for x in good] == [True] * 4
+    assert [rules._identities(x.lower()) != [] for x in bad] == [False] * 7
+    assert _found("0184057511600611") == [] and _found("12-184057511600611") == []
+
+
 def test_cleanup():
     assert rules.cleaned("Alice Bob Claire", [(0, 9, "A"), (6, 16, "OTHER"), (2, 4, "B"), (0, 5, "C"), (10, 16, "D")]) == [(0, 16, "OTHER")]
     assert rules.cleaned("!!!", [(0, 3, "NOM")]) == []

@@ -51,3 +51,13 @@ def test_profiles_are_calibrated_with_the_token_model_and_the_default_router(spa
     monkeypatch.setattr(Deidentifier, "fit", fit)
     assert [tuple(r) for r in catalogue.fitted_profiles(spark, folder).collect()] == [("fast", 0.5)]
     assert made == [(TokenAdapter, "token", None, None, 20, 10)]
+
+
+def test_queries_stay_where_something_the_corpus_operators_need_is_missing():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    n, m = map(int, subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=True).stdout.split())
+    assert n >= 45 and m >= 40
