@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,64 +64,83 @@ def route(text: str, rules: Sequence[tuple[int, int, str]], predict: Callable[[l
     return unite([(*x, 0) for x in project(found, segs)] + own), sum(e - s for s, e in bounds), len(packed)
 
 
-def document_states(docs: DataFrame, predict: Callable[[list[str]], list], groups: Mapping[str, Sequence[str]]) -> DataFrame:
+def document_states(docs: DataFrame, predict: Callable[[list[str]], list], groups: Mapping[str, Sequence[str]], most: int = 4_000_000) -> DataFrame:
     """(doc_id, state, score, model_chars, selected_chars, covered array<bigint>, support array<bigint>) of documents with `rules`, `entities` and `scores` (in line order): a row for
     each distinct score of a document's lines and one with a null score for no line. covered and support are by group, in order of names.
 
-    Texts of all states of a batch go to the model together; equal selections are made once.
+    Texts of the states of a block of documents go to the model together. A block has up to `most` characters in its states, or is one document.
     """
     names = sorted(groups)
     wanted = [frozenset(groups[n]) for n in names]
     kind = dict(docs.dtypes)["doc_id"]
 
+    def measured(plans: list[tuple], texts: list[str]) -> pd.DataFrame:
+        found = predict(texts) if texts else []
+        if len(found) != len(texts):
+            raise RuntimeError("the model gave another number of documents than it was given")
+        rows = []
+        for d, t, r, marks, states in plans:
+            support = [int(m.sum()) for m in marks]
+            for score, chosen, segs, at, sent in states:
+                entities = unite([(*x, 0) for x in (project(found[at], segs) if at is not None else [])] + [(*x, 1) for x in r])
+                seen = np.zeros(len(t) + 1, bool)
+                for s, e, _ in entities:
+                    seen[s:e] = True
+                rows.append((d, score, sent, sum(e - s for s, e in chosen), [int((m & seen).sum()) for m in marks], support))
+        return pd.DataFrame(rows, columns=["doc_id", "score", "model_chars", "selected_chars", "covered", "support"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            plans, texts = [], []
+            plans, texts, size = [], [], 0
             for d, t, r, g, s in zip(b["doc_id"], b["text"], b["rules"], b["entities"], b["scores"]):
                 bounds, s = line_bounds(t), [float(x) for x in s]
                 if len(s) != len(bounds):
                     raise ValueError("one score is needed for each line")
+                marks = [np.zeros(len(t) + 1, bool) for _ in wanted]
+                for x, e, label in spans_of(g):
+                    for mark, labels in zip(marks, wanted):
+                        if label in labels:
+                            mark[x:e] = [c.isalnum() for c in t[x:e]]
+                states = []
                 for score in [*sorted(set(s), reverse=True), None]:
                     chosen = [] if score is None else [x for x, y in zip(bounds, s) if y >= score]
                     packed, segs = pack(t, chosen) if chosen else ("", [])
-                    plans.append((d, t, spans_of(r), spans_of(g), score, chosen, segs, len(texts) if chosen else None, len(packed)))
+                    states.append((score, chosen, segs, len(texts) if chosen else None, len(packed)))
                     texts += [packed] if chosen else []
-            found = predict(texts) if texts else []
-            if len(found) != len(texts):
-                raise RuntimeError("the model gave another number of documents than it was given")
-            rows = []
-            for d, t, r, g, score, chosen, segs, at, sent in plans:
-                entities = unite([(*x, 0) for x in (project(found[at], segs) if at is not None else [])] + [(*x, 1) for x in r])
-                seen = np.zeros(len(t) + 1, bool)
-                for s, e, _ in entities:
-                    seen[s:e] = True
-                covered, support = [], []
-                for labels in wanted:
-                    gold = np.zeros(len(t) + 1, bool)
-                    for s, e, label in g:
-                        if label in labels:
-                            gold[s:e] = [c.isalnum() for c in t[s:e]]
-                    covered.append(int((gold & seen).sum()))
-                    support.append(int(gold.sum()))
-                rows.append((d, score, sent, sum(e - s for s, e in chosen), covered, support))
-            out = pd.DataFrame(rows, columns=["doc_id", "score", "model_chars", "selected_chars", "covered", "support"])
-            yield out
+                    size += len(packed)
+                plans.append((d, t, spans_of(r), marks, states))
+                if size > most:
+                    yield measured(plans, texts)
+                    plans, texts, size = [], [], 0
+            yield measured(plans, texts)
 
     return docs.select("doc_id", "text", "rules", "entities", "scores").mapInPandas(run, f"doc_id {kind}, score double, model_chars bigint, selected_chars bigint, covered array<bigint>, support array<bigint>")
 
 
+def _bucket(score: Column) -> Column:
+    """A number that grows with a score, from 0 to 2,002: the place of the logistic function's argument, which is between -20 and 20, in steps of a fiftieth. It is the same at each
+    evaluation, and scores crowd at neither end of it."""
+    inside = F.floor(50 * F.ln(score / (1 - score))).cast("int") + 1001
+    return F.when(score <= 0, 0).when(score >= 1, 2002).otherwise(F.greatest(F.lit(1), F.least(F.lit(2001), inside)))
+
+
 def calibration_points(states: DataFrame, measures: Sequence[str]) -> DataFrame:
     """(threshold, measures...): sums over documents at each distinct score, and at 0 and 1, from states (doc_id, score, measures...) with a null score for no line.
 
-    A document without any state counts as nothing. The running sum runs over distinct scores, after the sums by score.
+    A document without any state counts as nothing. Sums by score run on within buckets of scores, in parallel, and start at what the buckets above hold, which is
+    a running sum over at most 2,004 rows.
     """
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc_nulls_first())
     change = [(F.col(m) - F.coalesce(F.lag(m).over(w), F.lit(0))).alias(m) for m in measures]
     deltas = states.select(F.coalesce("score", F.lit(float("inf"))).alias("s"), *change).groupBy("s").agg(*(F.sum(m).alias(m) for m in measures))
     ends = states.sparkSession.range(1).select(F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("s"), *(F.lit(0).cast("long").alias(m) for m in measures))
     summed = deltas.unionByName(ends).groupBy("s").agg(*(F.sum(m).alias(m) for m in measures))
-    run = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return summed.select(F.col("s").alias("threshold"), *(F.sum(m).over(run).alias(m) for m in measures)).where("threshold <= 1")
+    summed = summed.withColumn("bucket", F.when(F.col("s") > 1, 2003).otherwise(_bucket(F.col("s"))))
+    above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bases = summed.groupBy("bucket").agg(*(F.sum(m).alias(m) for m in measures)).select("bucket", *(F.coalesce(F.sum(m).over(above), F.lit(0)).alias(f"{m} above") for m in measures))
+    run = Window.partitionBy("bucket").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    within = summed.select("s", "bucket", *(F.sum(m).over(run).alias(m) for m in measures)).join(F.broadcast(bases), "bucket")
+    return within.select(F.col("s").alias("threshold"), *((F.col(m) + F.col(f"{m} above")).alias(m) for m in measures)).where("threshold <= 1")
 
 
 def choose_thresholds(points: DataFrame, baseline: DataFrame, budgets: DataFrame) -> DataFrame:

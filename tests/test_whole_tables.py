@@ -60,4 +60,4 @@ def test_queries_stay_where_something_the_corpus_operators_need_is_missing():
 
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     n, m = map(int, subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=True).stdout.split())
-    assert n >= 45 and m >= 40
+    assert n == 45 and m >= 38
