@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from noteforge.operators.spans import longest_first
+from noteforge.operators.spans import longest_first, touched_tokens
 
 
 def _widened(text: str, tokens: Sequence[tuple[int, int]], spans: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
@@ -48,14 +48,12 @@ def overlapping_and_longest(text: str, tokens: Sequence[tuple[int, int]], spans:
     return every, [every[k] for k in longest_first([(a, b) for a, b, _, _ in wide])]
 
 
-def aligned_gold(docs: DataFrame, gold: DataFrame, toks: DataFrame) -> DataFrame:
+def aligned_gold(docs: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, span_start, span_end, label) of all documents; the order given is that of offsets, then of labels."""
     text = gold.join(docs.select("doc_id", "text"), "doc_id").withColumn("piece", F.expr("substring(text, span_start + 1, span_end - span_start)"))
     lead, kept = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", "")), F.length(F.regexp_replace("piece", r"(?U)^\s+|\s+$", ""))
-    cut = text.where(kept > 0).select("doc_id", (F.col("span_start") + lead).alias("s"), (F.col("span_start") + lead + kept).alias("e"), "span_start", "span_end", "label").alias("g")
-    t = toks.alias("t")
-    touch = (F.col("g.doc_id") == F.col("t.doc_id")) & (F.col("t.token_start") < F.col("g.e")) & (F.col("g.s") < F.col("t.token_end"))
-    wide = cut.join(t, touch).groupBy("g.doc_id", "g.span_start", "g.span_end", "g.label").agg(F.min("t.token_start").alias("s"), F.max("t.token_end").alias("e"), F.count("*").alias("n"))
+    cut = text.where(kept > 0).select("doc_id", (F.col("span_start") + lead).alias("a"), (F.col("span_start") + lead + kept).alias("b"), "span_start", "span_end", "label")
+    wide = touched_tokens(cut, docs, "a", "b").select("doc_id", "span_start", "span_end", "label", F.col("first").alias("s"), F.col("last").alias("e"), F.col("n_tokens").alias("n"))
     w = Window.partitionBy("doc_id").orderBy("s", "e", "span_start", "span_end", "label")
     marked = wide.withColumn("new", F.when(F.col("s") < F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import string
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,14 +97,37 @@ def tokens(docs: DataFrame) -> DataFrame:
     return rows.withColumn("token_end", end).select("doc_id", "token_no", (F.col("token_end") - F.length("token")).alias("token_start"), "token_end", "token")
 
 
-def align_spans(spans: DataFrame, toks: DataFrame, mode: str = "expand") -> DataFrame:
-    """Spans on token bounds. "expand": widened to the tokens they touch; "strict": only those that begin and end with tokens, as they are."""
+_TOKEN = regex.compile(r"(?s)\p{Nd}+|\p{L}[\p{L}\p{M}]*|\n|[ \t\x0b\f\r]+|.")
+
+
+def touched_tokens(spans: DataFrame, docs: DataFrame, start: str = "span_start", end: str = "span_end") -> DataFrame:
+    """Distinct `spans` with `first` and `last`, the bounds of the tokens they touch, and `n_tokens`, their number; spans that touch none are left out.
+
+    Only documents with spans are read, each once, and its spans are found among its tokens by bisection: nothing is joined token by token.
+    """
+    rest = [c for c in spans.columns if c != "doc_id"]
+
+    @F.pandas_udf("array<struct<first:int,last:int,n_tokens:int>>")
+    def find(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(text, starts, ends):
+            begins = np.array([m.start() for m in _TOKEN.finditer(t or "")], np.int64)
+            stops = np.r_[begins[1:], len(t or "")]
+            i, j = np.searchsorted(begins, a, side="right") - 1, np.searchsorted(begins, b, side="left") - 1
+            out.append([{"first": begins[x], "last": stops[y], "n_tokens": y - x + 1} if 0 <= x <= y and stops[x] > s else None for x, y, s in zip(i.tolist(), j.tolist(), a)])
+        return pd.Series(out)
+
+    grouped = spans.groupBy("doc_id").agg(F.collect_set(F.struct(*rest)).alias("s")).join(docs.select("doc_id", "text"), "doc_id")
+    found = grouped.withColumn("t", find.asNondeterministic()("text", F.transform("s", lambda x: x[start]), F.transform("s", lambda x: x[end])))
+    rows = found.select("doc_id", F.explode(F.arrays_zip("s", "t")).alias("z")).where("z.t IS NOT NULL")
+    return rows.select("doc_id", *(F.col(f"z.s.{c}") for c in rest), "z.t.first", "z.t.last", "z.t.n_tokens").select(*spans.columns, "first", "last", "n_tokens")
+
+
+def align_spans(spans: DataFrame, docs: DataFrame, mode: str = "expand") -> DataFrame:
+    """Distinct spans on token bounds. "expand": widened to the tokens they touch; "strict": only those that begin and end with tokens, as they are."""
     if mode not in ("expand", "strict"):
         raise ValueError("mode is 'expand' or 'strict'")
-    s, t = spans.alias("s"), toks.alias("t")
-    touch = (F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("t.token_start") < F.col("s.span_end")) & (F.col("s.span_start") < F.col("t.token_end"))
-    cols = [F.col(f"s.{c}") for c in spans.columns]
-    ends = s.join(t, touch).groupBy(*cols).agg(F.min("t.token_start").alias("first"), F.max("t.token_end").alias("last"))
+    ends = touched_tokens(spans, docs)
     if mode == "strict":
         return ends.where((F.col("first") == F.col("span_start")) & (F.col("last") == F.col("span_end"))).select(*spans.columns)
     return ends.withColumn("span_start", F.col("first")).withColumn("span_end", F.col("last")).select(*spans.columns)

@@ -137,16 +137,16 @@ def merged_spans(spark, folder):
 
 
 def expanded_spans(spark, folder):
-    return _longs(spans.align_spans(_spans(spark, folder), spans.tokens(_docs(spark, folder)), "expand"))
+    return _longs(spans.align_spans(_spans(spark, folder), _docs(spark, folder), "expand"))
 
 
 def strict_spans(spark, folder):
-    return _longs(spans.align_spans(_spans(spark, folder).distinct(), spans.tokens(_docs(spark, folder)), "strict"))
+    return _longs(spans.align_spans(_spans(spark, folder), _docs(spark, folder), "strict"))
 
 
 def aligned_gold(spark, folder):
     docs = _annotated(spark, folder)
-    return _longs(alignment.aligned_gold(docs, spans.gold_spans(docs), spans.tokens(docs)))
+    return _longs(alignment.aligned_gold(docs, spans.gold_spans(docs)))
 
 
 def line_rule_overlaps(spark, folder):

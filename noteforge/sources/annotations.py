@@ -18,9 +18,15 @@ SCHEMA = "doc_id bigint, text string, entities array<struct<start:int,end:int,la
 def annotation_problems(spark: SparkSession, path: str, text_key: str = "text") -> tuple[DataFrame, DataFrame]:
     """(good, bad) of a UTF-8 JSON Lines file or folder: good in SCHEMA plus `path` and `line_no` from 1; bad (path, line_no, reason).
 
-    Lines are numbered within their file, so each file is read in one task; blank lines are kept and are bad.
+    Large files are read by several tasks. Lines are numbered within their part of the file; numbers of lines of earlier parts are summed up. Blank lines
+    are kept and are bad.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.expr("filter(transform(split(value, '\\n'), (x, i) -> struct(i + 1 AS line_no, x AS raw, size(split(value, '\\n')) AS n)), x -> NOT (x.line_no = x.n AND x.raw = ''))")).alias("x")).select("path", "x.line_no", F.col("x.raw").alias("raw"))
+    parts = ["path", "block"]
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = read.groupBy(*parts).agg(F.count("*").alias("n")).select(*parts, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = read.withColumn("k", F.row_number().over(Window.partitionBy(*parts).orderBy("place"))).join(before, parts)
+    lines = numbered.select("path", (F.col("before") + F.col("k")).cast("int").alias("line_no"), "raw")
     if text_key != "text":
         lines = lines.withColumn("raw", _rename(text_key)(F.col("raw")))
     key = F.concat_ws("\u0000", "path", F.lpad(F.col("line_no").cast("string"), 12, "0"))

@@ -52,6 +52,19 @@ def test_unquoted_line_breaks_are_data():
     assert got["reason"].tolist() == [None, None] and got["text"][0] == "a\nb" and got["note"][1] == "n\r"
 
 
+def test_lines_of_a_file_read_in_parts_keep_their_numbers(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text("".join((_line() if k % 7 else "{") + "\n" for k in range(1, 400)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        good, bad = annotations.annotation_problems(spark, str(path))
+        assert good.rdd.getNumPartitions() >= 1 and sorted(r["line_no"] for r in bad.collect()) == list(range(7, 400, 7))
+        assert sorted(r["line_no"] for r in good.collect()) == [k for k in range(1, 400) if k % 7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_read_annotations(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text("\n".join([json.dumps({"note_text": "Maël-Dupont", "entities": [{"start": 1, "end": 3, "label": "NOM"}], "context": {"NOM": ["x"]}}), json.dumps({"note_text": "b", "entities": []})]) + "\n", encoding="utf-8")

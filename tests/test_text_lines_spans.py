@@ -130,10 +130,10 @@ def test_valid_trimmed_aligned(spark):
     toks = spans.tokens(docs)
     assert "".join(r["token"] for r in toks.orderBy("token_no").collect()) == "Jean-Paul 0612345678.\nfin"
     s = spark.createDataFrame([(0, 1, 3, "NOM", 0), (0, 10, 20, "TEL", 0)], SPAN)
-    assert [r[1:3] for r in _rows(spans.align_spans(s, toks), "span_start")] == [(0, 4), (10, 20)]
-    assert [r[1:3] for r in _rows(spans.align_spans(s, toks, "strict"), "span_start")] == [(10, 20)]
+    assert [r[1:3] for r in _rows(spans.align_spans(s, docs), "span_start")] == [(0, 4), (10, 20)]
+    assert [r[1:3] for r in _rows(spans.align_spans(s, docs, "strict"), "span_start")] == [(10, 20)]
     with pytest.raises(ValueError):
-        spans.align_spans(s, toks, "other")
+        spans.align_spans(s, docs, "other")
     assert spans.longest_first([(0, 5), (4, 12), (12, 14), (3, 4)]) == [1, 2, 3]
 
 
