@@ -20,20 +20,32 @@ WORD = re.compile(r"[a-z0-9]+|[^\w\s]", re.IGNORECASE)
 _BLANK = re.compile(r"\s+")
 
 
+class _Each(dict):
+    """What a function of single characters gives, by code point; made when first asked for."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, point: int) -> str:
+        self[point] = x = self.of(chr(point))
+        return x
+
+
+_FOLDED = _Each(lambda c: "" if unicodedata.combining(c) else "0" if c.isdigit() else c)
+_SHAPED = _Each(lambda c: "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else " " if c.isspace() else c)
+_RUNS = re.compile(r"([Aa0 ])\1+")
+
+
 def fold_line(text: str) -> str:
     """Case folded, accents dropped (compatibility forms too), each digit as 0, blanks collapsed and cut off at the ends."""
-    t = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return _BLANK.sub(" ", "".join("0" if c.isdigit() else c for c in t)).strip()
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text.casefold())
+    return _BLANK.sub(" ", t.translate(_FOLDED)).strip()
 
 
 def line_shape(text: str) -> str:
     """Runs of capitals as A, of small letters as a, of digits as 0, of blanks as one blank; other characters stay; blank ends cut off."""
-    out = []
-    for c in text:
-        x = "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else " " if c.isspace() else c
-        if x not in "Aa0 " or not out or out[-1] != x:
-            out.append(x)
-    return "".join(out).strip()
+    return _RUNS.sub(r"\1", text.translate(_SHAPED)).strip()
 
 
 @F.pandas_udf(T.StringType())

@@ -19,7 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteforge.functions.sampling import smallest_hashes
@@ -57,33 +57,69 @@ def line_bounds(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 of each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+#: CRC-32 of what the names of features begin with (fixed values), from which those of the names go on.
+_ABOUT = {who: (zlib.crc32(f"{who}:word:".encode()), zlib.crc32(f"{who}:bigram:".encode())) for who in ("current", "previous", "next")}
+
+
+def _gram_places(lines: list[str], kind: str, sizes: Sequence[int], places: int) -> list[np.ndarray]:
+    """Places of all n-grams of each line: the UTF-8 of all lines end to end, a byte of all n-grams at a time."""
+    data = np.frombuffer("".join(lines).encode(errors="surrogatepass"), np.uint8)
+    starts = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # of characters, in bytes
+    ends = np.cumsum([len(x) for x in lines])
+    left = np.repeat(ends, [len(x) for x in lines]) - np.arange(len(starts) - 1)  # characters to the end of the line
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    for n in sizes:
+        at = np.flatnonzero(left >= n)
+        first, size = starts[at], starts[at + n] - starts[at]
+        state = np.full(len(at), zlib.crc32(f"current:{kind}:{n}:".encode()) ^ 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            state = _CRC[(state ^ data[first + k]) & 255] ^ (state >> 8)
+        longer = np.flatnonzero(size > n)
+        for k in range(n, int(size.max(initial=0))):
+            longer = longer[size[longer] > k]
+            state[longer] = _CRC[(state[longer] ^ data[first[longer] + k]) & 255] ^ (state[longer] >> 8)
+        found = 1 + (state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % places
+        for k, part in enumerate(np.split(found, np.searchsorted(at, ends)[:-1])):
+            out[k].append(part)
+    return [np.concatenate(x) for x in out]
+
+
 def line_features(text: str, rules: Sequence[tuple[int, int, str]], config: RouterConfig) -> list[np.ndarray]:
-    """Sorted distinct feature places of each line; rules are (start, end, label)."""
+    """Sorted distinct feature places of each line; rules are (start, end, label). The place of a name is 1 + its CRC-32 modulo the places after the bias."""
     places = config.dimension - 1
     if any(e > len(text) for _, e, _ in rules):
         raise ValueError("a rule span lies outside its document")
-    spot = lambda name: 1 + zlib.crc32(name.encode()) % places
     bounds = line_bounds(text)
+    if not bounds:
+        return []
     normal = [fold_line(text[s:e]) for s, e in bounds]
-    words = [WORD.findall(x) for x in normal]
-    pairs = [[f"{a}_{b}" for a, b in zip(w, w[1:])] for w in words]
-    about = lambda k, who: {*(f"{who}:word:{w}" for w in words[k]), *(f"{who}:bigram:{p}" for p in pairs[k])}
+    grams = [_gram_places([f"^{x}$" for x in lines], kind, config.ngrams, places) for kind, lines in (("char", normal), ("shape", [line_shape(text[s:e]) for s, e in bounds]))]
+    words = [[w.encode() for w in WORD.findall(x)] for x in normal]
+    pairs = [[a + b"_" + b for a, b in zip(w, w[1:])] for w in words]
+    about = lambda k, who: [1 + zlib.crc32(x, seed) % places for xs, seed in zip((words[k], pairs[k]), _ABOUT[who]) for x in xs]
     rows = []
     for k, (s, e) in enumerate(bounds):
-        line = text[s:e]
-        names = about(k, "current")
-        for kind, x in (("char", f"^{normal[k]}$"), ("shape", f"^{line_shape(line)}$")):
-            names.update(f"current:{kind}:{n}:{x[i : i + n]}" for n in config.ngrams for i in range(len(x) - n + 1))
-        if k:
-            names |= about(k - 1, "previous")
-        if k + 1 < len(bounds):
-            names |= about(k + 1, "next")
+        near = about(k, "current") + (about(k - 1, "previous") if k else []) + (about(k + 1, "next") if k + 1 < len(bounds) else [])
         here = [(max(a, s), min(b, e), label) for a, b, label in rules if a < e and s < b]
-        names.update(f"current:rule:{label}" for _, _, label in here)
-        covered = {p for a, b, _ in here for p in range(a, b) if text[p].isalnum()}
-        tenths = min(10, round(10 * len(covered) / max(1, sum(map(str.isalnum, line)))))
+        tenths = 0
+        if here:
+            covered = {p for a, b, _ in here for p in range(a, b) if text[p].isalnum()}
+            tenths = min(10, round(10 * len(covered) / max(1, sum(map(str.isalnum, text[s:e])))))
+        names = {f"current:rule:{label}" for _, _, label in here}
         names |= {f"current:rule-count:{min(8, len(here))}", f"current:rule-coverage:{tenths}", f"position:{min(19, 20 * k // len(bounds))}", f"length:{min(20, len(normal[k]) // 5)}"}
-        rows.append(np.array(sorted({BIAS, *map(spot, names)}), np.int32))
+        near += [1 + zlib.crc32(x.encode()) % places for x in names]
+        every = np.concatenate([[BIAS], near, grams[0][k], grams[1][k]]).astype(np.int32)
+        every.sort()
+        rows.append(every[np.r_[True, every[1:] != every[:-1]]])
     return rows
 
 
@@ -228,8 +264,3 @@ def class_balance(labelled: DataFrame, target: str = "is_residual") -> DataFrame
     """(n_lines, n_positive, positive_weight) of labelled lines; the weight is null without positive lines."""
     n, p = F.count("*"), F.count_if(F.col(target))
     return labelled.agg(n.alias("n_lines"), p.alias("n_positive"), F.try_divide((n - p).cast("double"), p).alias("positive_weight"))
-
-
-def load_weights(spark: SparkSession, router: LineRouter) -> DataFrame:
-    """(idx, weight): the weights as a table."""
-    return spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(router.weights), dtype=np.int32), "weight": router.weights}))
