@@ -27,15 +27,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from noteforge.llm.normalise import fold
 from noteforge.llm.shared import discard, written
@@ -51,8 +51,37 @@ _WORD = re.compile(r"[^\W_]+")
 _HASHES: dict[str, int] = {}
 
 
+#: Whether words have a character, by code point; of each Latin-1 character itself, if so, else a blank.
+_IN_WORDS = np.zeros(0x110000, bool)
+for _m in _WORD.finditer("".join(map(chr, range(0x110000)))):
+    _IN_WORDS[_m.start() : _m.end()] = True
+_BLANKED = bytes(k if _IN_WORDS[k] else 32 for k in range(256))
+
+
+def worded(text: str | None) -> str:
+    """The words of a text, folded, with blanks between them and nothing else."""
+    t = fold(text)
+    try:
+        return t.encode("latin-1").translate(_BLANKED).decode("latin-1").strip()
+    except UnicodeEncodeError:
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(_IN_WORDS[points], points, np.uint32(32)).tobytes().decode("utf-32-le").strip()
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text))
+    return worded(text).split()
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, end to end, and the texts' numbers of words."""
+    joined = [worded(x) for x in texts]
+    sizes = np.zeros(len(texts), np.int64)
+    if there := [k for k, x in enumerate(joined) if x]:
+        lists = pc.ascii_split_whitespace(pa.array([joined[k] for k in there], pa.large_string()))
+        sizes[there] = lists.value_lengths().to_numpy()
+        words = lists.flatten().dictionary_encode()
+        return hashes_of(words.dictionary.to_pylist())[words.indices.to_numpy()], sizes
+    return np.zeros(0, np.uint64), sizes
 
 
 def hashes_of(words: list[str]) -> np.ndarray:
@@ -89,7 +118,8 @@ def phrases_of(hashes: np.ndarray, sizes: np.ndarray | None = None, length: int
     place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
     made = _mixed(np.add.reduceat(_mixed(hashes) * _PLACES[place % len(_PLACES)], start))
     owner = np.searchsorted(begins, start, side="right") - 1
-    order = np.lexsort((made, owner))
+    order = np.argsort(made)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(sizes) <= 1 << 16 else np.int64), kind="stable")]  # sixteen bits are sorted by radix
     made, owner = made[order], owner[order]
     first = np.r_[True, (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])]
     return made[first], np.bincount(owner[first], minlength=len(sizes))
@@ -103,9 +133,10 @@ def bags_of(hashes: np.ndarray, sizes: np.ndarray | None = None) -> list[bytes]:
     return [counts[k : k + BUCKETS] for k in range(0, len(counts), BUCKETS)]
 
 
-def may_share(a: list[bytes], b: list[bytes], needed: np.ndarray) -> np.ndarray:
+def may_share(a: list[bytes] | pa.BinaryArray, b: list[bytes] | pa.BinaryArray, needed: np.ndarray) -> np.ndarray:
     """Of pairs of bags, whether as many words as needed may be common: never false where they are. A bucket full on both sides tells nothing."""
-    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, BUCKETS) for z in (a, b))
+    x, y = (pa.array(z, pa.binary()).cast(pa.binary(BUCKETS)) for z in (a, b))
+    x, y = (np.frombuffer(z.buffers()[1], np.uint8, len(z) * BUCKETS, z.offset * BUCKETS).reshape(-1, BUCKETS) for z in (x, y))
     least = np.minimum(x, y)
     return (least.sum(1, dtype=np.int64) >= needed) | (least == 255).any(1)
 
@@ -141,37 +172,114 @@ def split_side(split: Column) -> Column:
     return F.when(s == "train", 1).when(s.isin("validation", "test"), 0)
 
 
+def by_text(rows: DataFrame, run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `run` makes of batches of whole texts, given where each begins. `rows` has one row for each text, with a null `df`, and others for its phrases; a batch has
+    the row of the text first, then its phrases, rarest first. Rows are dealt out and sorted by `node` alone, which the JVM does by radix, and put in order here."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node = b["node"].to_numpy()
+            # a batch ends where the last node of what has come begins
+            if kept and node[0] != last:
+                yield made(kept)
+                kept = []
+            last = node[-1]
+            at = int(np.searchsorted(node, last))
+            if at:
+                yield made([*kept, b.slice(0, at)])
+                kept = []
+            kept.append(b.slice(at))
+        if kept:
+            yield made(kept)
+
+    def made(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.concat_batches(kept)
+        node = b["node"].to_numpy()
+        group = np.cumsum(np.r_[False, node[1:] != node[:-1]])
+        group = 2 * group + b["side"].to_numpy()
+        order = np.lexsort((_numbers(b["s"]), _numbers(b["df"]), group.astype(np.uint16) if group[-1] < 1 << 16 else group))
+        b = b.take(pa.array(order))
+        return run(b, np.flatnonzero(b["df"].is_null().to_numpy(zero_copy_only=False)))
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(whole, schema)
+
+
+def _numbers(column: pa.Array, null: float = 0) -> np.ndarray:
+    return column.fill_null(pa.scalar(null, column.type)).to_numpy(zero_copy_only=False)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+
 def weighted(heads: DataFrame, threshold: float, common: float) -> DataFrame:
     """(side, node, id, words, bag, cls, df, s, w) of the texts in `heads` that may have a partner: phrases that the other side holds, rarest first, the number of
     texts with each, and their weights in the vector of length 1. `cls`: the class of size; those of two texts with enough common words differ by 1 at most."""
     total = float(heads.count())
-    mass = lambda df: F.log1p(F.lit(total) / df)
     postings = heads.select("side", "node", F.explode("s").alias("s"))
     stats = postings.groupBy("s").agg(F.count("*").cast("int").alias("df"), (F.max(F.col("side") == 0) & F.max(F.col("side") == 1)).alias("both")).where("df > 1")
-    known = postings.where("side IS NOT NULL").join(stats, "s")
-    # phrases of one text only are not sent around: each adds the same to the norm
-    vectors = known.groupBy("side", "node").agg(F.sum(mass(F.col("df"))).alias("m"), F.count("*").alias("n"), F.collect_list(F.when(F.col("both"), F.struct("df", "s"))).alias("z"))
-    own = heads.where("side IS NOT NULL").select("side", "node", "id", "words", "bag", F.size("s").alias("size"))
-    norm = F.sqrt(F.col("m") + (F.col("size") - F.col("n")) * mass(F.lit(1.0)))
-    made = vectors.join(own, ["side", "node"]).withColumn("norm", norm).withColumn("z", F.array_sort("z"))
-    made = made.withColumn("w", F.transform("z", lambda x: (F.sqrt(mass(x["df"])) / F.col("norm")).cast("float")))
-    reach = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    cls = F.floor(F.log(F.col("words").cast("double")) / F.lit(1e-9 - np.log(common))).cast("int")
-    return made.where(reach >= threshold * threshold - 1e-6).select("side", "node", "id", "words", "bag", cls.alias("cls"), F.col("z.df").alias("df"), F.col("z.s").alias("s"), "w")
+    # phrases of one text only are not sent around: each adds the same to the norm; of those that the other side hasn't, only the number of texts is
+    known = postings.where("side IS NOT NULL").join(stats, "s").select("side", "node", "df", F.when(F.col("both"), F.col("s")).alias("s"))
+    own = heads.where("side IS NOT NULL").select("side", "node", F.lit(None).cast("int").alias("df"), F.lit(None).cast("bigint").alias("s"), "id", "words", "bag", F.size("s").alias("size"))
+
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.r_[starts, b.num_rows])
+        mass = np.log1p(total / _numbers(b["df"], 1))
+        mass[starts] = 0
+        texts = b.take(pa.array(starts))
+        norm = np.sqrt(np.add.reduceat(mass, starts) + (_numbers(texts["size"]) - (sizes - 1)) * np.log1p(total))
+        w = (np.sqrt(mass) / np.repeat(norm, sizes)).astype(np.float32)
+        both = b["s"].is_valid().to_numpy(zero_copy_only=False)
+        good = np.add.reduceat(np.where(both, w.astype(np.float64) ** 2, 0), starts) >= threshold * threshold - 1e-6
+        numbers = np.add.reduceat(both.astype(np.int64), starts)[good]
+        at = np.flatnonzero(both & np.repeat(good, sizes))
+        z = b.select(["df", "s"]).take(pa.array(at))
+        texts = texts.filter(pa.array(good))
+        cls = np.floor(np.log(_numbers(texts["words"]).astype(np.float64)) / (1e-9 - np.log(common))).astype(np.int32)
+        columns = [texts[c] for c in ("side", "node", "id", "words", "bag")] + [pa.array(cls)] + [_lists(x, numbers) for x in (z["df"], z["s"], pa.array(w[at]))]
+        return pa.RecordBatch.from_arrays(columns, ["side", "node", "id", "words", "bag", "cls", "df", "s", "w"])
+
+    kind = dict(heads.dtypes)["id"]
+    schema = f"side int, node bigint, id {kind}, words int, bag binary, cls int, df array<int>, s array<bigint>, w array<float>"
+    return by_text(known.unionByName(own, allowMissingColumns=True), run, schema)
 
 
 def indexed(vectors: DataFrame, threshold: float) -> DataFrame:
     """(side, node, words, bag, z array<struct<s, df, rest>>): what of each vector is indexed, with the norm that remains from each place on."""
     z = F.explode(F.arrays_zip("df", "s", "w"))
-    entries = vectors.select("side", "node", "words", "cls", z.alias("z")).select("side", "node", "words", "cls", "z.df", "z.s", F.col("z.w").cast("double").alias("w"))
+    entries = vectors.select("side", "node", "cls", z.alias("z")).select("side", "node", "cls", "z.*")
     largest = entries.groupBy("s", "side", "cls").agg(F.max("w").alias("b"))
+    # phrase, side and class as one number, which is sorted by radix; should two have the same, the larger bound holds for both
+    key = lambda side, cls: F.col("s").bitwiseXOR((cls * 2 + side).cast("bigint")).alias("key")
     # what the other side's texts of this class or a neighbouring one can weigh at most; without any, the phrase adds nothing
-    partners = largest.select("s", (1 - F.col("side")).alias("side"), F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))).alias("cls"), "b").groupBy("s", "side", "cls").agg(F.max("b").alias("b"))
-    w = Window.partitionBy("side", "node").orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    bounded = entries.join(partners, ["s", "side", "cls"]).select("side", "node", "words", "s", "df", F.sum(F.col("w") * F.col("w")).over(w).alias("m"), F.sum(F.col("w") * F.col("b")).over(w).alias("most"))
-    kept = bounded.where((F.col("m") >= threshold * threshold - 1e-6) & (F.col("most") >= threshold - 1e-6))
-    made = kept.groupBy("side", "node").agg(F.first("words").alias("words"), F.collect_list(F.struct("s", "df", F.sqrt("m").cast("float").alias("rest"))).alias("z"))
-    return made.join(vectors.select("side", "node", "bag"), ["side", "node"])
+    partners = largest.select(F.explode(F.array(*(key(1 - F.col("side"), F.col("cls") + k) for k in (-1, 0, 1)))).alias("key"), "b").groupBy("key").agg(F.max("b").alias("b"))
+    keyed = entries.select(key(F.col("side"), F.col("cls")), "side", "cls", "node", "df", "w")
+    bounded = keyed.join(partners, "key").select("side", "node", "df", F.col("key").bitwiseXOR((F.col("cls") * 2 + F.col("side")).cast("bigint")).alias("s"), "w", "b")
+    own = vectors.select("side", "node", F.lit(None).cast("int").alias("df"), F.lit(None).cast("bigint").alias("s"), "words", "bag")
+
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.r_[starts, b.num_rows])
+        w, most = (_numbers(b[c]).astype(np.float64) for c in ("w", "b"))
+
+        def after(x: np.ndarray) -> np.ndarray:
+            # sums from the commonest phrases up to each place
+            sums = np.cumsum(x)
+            return np.repeat(sums[starts + sizes - 1], sizes) - sums + x
+
+        m = after(w * w)
+        good = (m >= threshold * threshold - 1e-6) & (after(w * most) >= threshold - 1e-6)
+        good[starts] = False
+        numbers = np.add.reduceat(good.astype(np.int64), starts)
+        at = pa.array(np.flatnonzero(good))
+        entry = pa.StructArray.from_arrays([b["s"].take(at), b["df"].take(at), pa.array(np.sqrt(m[good]).astype(np.float32))], ["s", "df", "rest"])
+        texts = b.select(["side", "node", "words", "bag"]).take(pa.array(starts[numbers > 0]))
+        return pa.RecordBatch.from_arrays([*texts.columns, _lists(entry, numbers[numbers > 0])], [*texts.schema.names, "z"])
+
+    return by_text(bounded.unionByName(own, allowMissingColumns=True), run, "side int, node bigint, words int, bag binary, z array<struct<s: bigint, df: int, rest: float>>")
 
 
 def candidates(index: DataFrame, threshold: float, common: float, most: int = LIST) -> DataFrame:
@@ -181,16 +289,18 @@ def candidates(index: DataFrame, threshold: float, common: float, most: int = LI
         parts = 1 + F.floor(F.col("df") / F.lit(most)).cast("int")
         salt = F.explode(F.sequence(F.lit(0), parts - 1)) if k == 0 else F.pmod(F.xxhash64("node"), parts).cast("int")
         x = index.where(F.col("side") == k).select("node", "words", "bag", F.explode("z").alias("z")).select("node", "words", "bag", "z.*")
-        return x.select("s", salt.alias("salt"), *(F.col(c).alias(f"{c}_{k}") for c in ("node", "words", "rest", "bag")))
+        x = x.select("s", salt.alias("salt"), *(F.col(c).alias(f"{c}_{k}") for c in ("node", "words", "rest", "bag")))
+        # as one number, which is sorted by radix; should two lists have the same, their pairs are told apart by the exact products
+        return x.withColumn("list", F.xxhash64("s", "salt")).drop("s", "salt")
 
     a, b = F.col("words_0"), F.col("words_1")
     meets = (F.col("rest_0") * F.col("rest_1") >= threshold - 1e-5) & (a >= b * common) & (b >= a * common) & (F.col("node_0") != F.col("node_1"))
-    met = lists(0).join(lists(1), ["s", "salt"]).where(meets).select("node_0", "node_1", (F.greatest(a, b) * common).alias("needed"), "bag_0", "bag_1")
+    met = lists(0).join(lists(1), "list").where(meets).select("node_0", "node_1", (F.greatest(a, b) * common).alias("needed"), "bag_0", "bag_1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                good = may_share(b["bag_0"].to_pylist(), b["bag_1"].to_pylist(), b["needed"].to_numpy())
+                good = may_share(b["bag_0"], b["bag_1"], b["needed"].to_numpy())
                 yield b.select(["node_0", "node_1"]).filter(pa.array(good))
 
     return met.mapInArrow(run, "node_0 bigint, node_1 bigint").distinct()
@@ -208,13 +318,11 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", side:
             # many texts at once, but a bounded number of characters
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                words = [words_of(x) for x in part["text"].to_pylist()]
-                sizes = np.array(list(map(len, words)), np.int64)
+                h, sizes = hashed(part["text"].to_pylist())
                 there = np.flatnonzero(sizes)
                 if not len(there):
                     continue
                 sizes = sizes[there]
-                h = hashes_of([w for x in words for w in x])
                 ends = np.cumsum(sizes).tolist()
                 nodes = [xxhash.xxh3_64_intdigest(h[s:e].tobytes()) - (1 << 63) for s, e in zip([0, *ends], ends)]
                 phrases, counts = phrases_of(h, sizes)

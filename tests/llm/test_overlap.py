@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from noteforge.llm import overlap as o
+from noteforge.llm.normalise import fold
 
 SCHEMA = "doc_id bigint, split string, source string, text string, id string, side int, node bigint"
 
@@ -142,3 +144,50 @@ def test_scattered_edits_of_long_texts_are_found(spark):
         rows += [(1000 + k, "train", "s", " ".join(a), "", 0, 0), (2000 + k, "test", "s", " ".join(b), "", 0, 0)]
     got = o.overlap_pairs(*o.overlaps(spark.createDataFrame(rows, SCHEMA))).collect()
     assert {tuple(x) for x in got} == {(1000 + k, 2000 + k) for k in range(5)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=12), st.text("aÉß_œ - ²²µ'’\U0001f642αЖ́", max_size=12)), max_size=5))
+def test_words_by_bytes_are_those_of_the_pattern(texts):
+    want = [o._WORD.findall(fold(x)) for x in texts]
+    assert [o.words_of(x) for x in texts] == want
+    h, sizes = o.hashed(texts)
+    assert sizes.tolist() == [len(x) for x in want]
+    assert h.tolist() == o.hashes_of([w for x in want for w in x]).tolist()
+
+
+def _heads(spark):
+    r = np.random.default_rng(6)
+    pools = [r.integers(-(1 << 62), 1 << 62, n) for n in (8, 25, 60, 200)]
+    rows = []
+    for k in range(120):
+        s = np.unique(np.concatenate([r.choice(p, r.integers(1, 12)) for p in pools]))
+        words = int(r.integers(20, 90))
+        # some texts stand on both sides
+        rows += [(side, k, 2 * k + side, words, bytearray(o.bags_of(r.integers(0, 1 << 60, words).astype(np.uint64))[0]), [int(x) for x in s]) for side in ((0, 1) if k % 5 == 0 else (k % 2,))]
+    return spark.createDataFrame(rows, "side int, node bigint, id bigint, words int, bag binary, s array<bigint>")
+
+
+def test_texts_are_whole_however_batches_are_cut(spark):
+    heads, name = _heads(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, made = spark.conf.get(name), []
+    try:
+        for size in ("10000", "1", "7"):
+            spark.conf.set(name, size)
+            vectors = o.weighted(heads, 0.2, o.COMMON)
+            made.append([sorted(map(str, x.collect())) for x in (vectors, o.indexed(vectors, 0.2))])
+    finally:
+        spark.conf.set(name, before)
+    assert made[0] == made[1] == made[2] and all(made[0])
+    for v in vectors.collect():
+        assert len(v["s"]) == len(v["w"]) == len(v["df"]) and list(zip(v["df"], v["s"])) == sorted(zip(v["df"], v["s"]))
+
+
+def test_rows_of_phrases_are_sorted_by_one_number_and_never_gathered_by_the_jvm(spark):
+    vectors = o.weighted(_heads(spark), 0.2, o.COMMON)
+    index = o.indexed(vectors, 0.2)
+    for df in (vectors, index, o.candidates(index, 0.2, o.COMMON)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("ObjectHashAggregate|SortAggregate|Window", plan)
+        sorts = re.findall(r"Sort \[(.*?)\], (?:true|false)", plan)
+        assert sorts and all("," not in x for x in sorts)
