@@ -26,6 +26,15 @@ def with_rates(counts: DataFrame) -> DataFrame:
     return counts.select("*", rate(tp, p).alias("precision"), rate(tp, g).alias("recall"), rate(2 * tp, g + p).alias("f1"), rate(5 * tp, 4 * g + p).alias("f2"))
 
 
+def rate(metric: str, tp: int, p: int, g: int) -> float:
+    """"precision", "recall", "f1" or "f2" of what was found rightly, found, and there; 0 where the denominator is 0."""
+    formulas = {"precision": (tp, p), "recall": (tp, g), "f1": (2 * tp, g + p), "f2": (5 * tp, 4 * g + p)}
+    if metric not in formulas:
+        raise ValueError("unknown metric")
+    above, below = formulas[metric]
+    return float(above / below) if below else 0.0
+
+
 def score_spans(gold: list[set], predicted: list[set], metric) -> float:
     """One score of rows of (start, end, label): "precision", "recall", "f1", "f2" or a callable of both lists; a callable must give a finite number."""
     import math
@@ -33,15 +42,9 @@ def score_spans(gold: list[set], predicted: list[set], metric) -> float:
 
     if len(gold) != len(predicted):
         raise ValueError("as many predicted documents are needed as gold ones")
-    if callable(metric):
-        value = metric(gold, predicted)
-    else:
-        tp, p, g = sum(len(set(a) & set(b)) for a, b in zip(gold, predicted)), sum(len(set(b)) for b in predicted), sum(len(set(a)) for a in gold)
-        formulas = {"precision": (tp, p), "recall": (tp, g), "f1": (2 * tp, g + p), "f2": (5 * tp, 4 * g + p)}
-        if metric not in formulas:
-            raise ValueError("unknown metric")
-        above, below = formulas[metric]
-        value = above / below if below else 0.0
+    if not callable(metric):
+        return rate(metric, sum(len(set(a) & set(b)) for a, b in zip(gold, predicted)), sum(len(set(b)) for b in predicted), sum(len(set(a)) for a in gold))
+    value = metric(gold, predicted)
     if isinstance(value, bool) or not isinstance(value, Real) or not math.isfinite(value):
         raise ValueError("a metric must give a finite number")
     return float(value)
