@@ -10,14 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from noteforge.operators.router import spans_of
-from noteforge.operators.spans import TOKEN
 
+#: The tokens of `spans.TOKEN` that aren't blanks.
+_FILLED = re.compile(r"\d+|[^\W\d_]+|\n|\S")
 _END = re.compile(r"[.!?…]+|\n")
 
 
 def token_bounds(text: str) -> list[tuple[int, int]]:
     """Tokens that aren't blanks, but for line feeds, which are tokens."""
-    return [m.span() for m in TOKEN.finditer(text) if not m[0].isspace() or m[0] == "\n"]
+    return [m.span() for m in _FILLED.finditer(text)]
 
 
 def sentence_ends(text: str, tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[int]:

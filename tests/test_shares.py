@@ -82,3 +82,14 @@ def test_path_is_the_best_one():
             scores = chance.normal(size=(n, 5)).astype(np.float32)
             scores[:, 2::2] += 1
             assert tuple(model._path(scores)) == max(paths, key=lambda p: sum(scores[i, k] for i, k in enumerate(p)))
+
+
+def test_tasks_are_sent_weights_that_are_not_zero():
+    import pickle
+
+    model = TokenAdapter()
+    model.tags, model.weights = ["O", "B-NOM", "I-NOM"], np.zeros((model.PLACES, 3), np.float32)
+    model.weights[[1, 5, 99], [0, 2, 1]] = 1.5, -2, 3
+    sent = pickle.dumps(model)
+    again = pickle.loads(sent)
+    assert len(sent) < 2000 and again.tags == model.tags and (again.weights == model.weights).all() and again.weights.dtype == np.float32
